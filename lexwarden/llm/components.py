@@ -95,7 +95,7 @@ def source_key(source_id: Column) -> Column:
     """
     plain = F.lower(F.regexp_replace(source_id, r"(?U)^\s+|\s+$", ""))
     exporter, number = F.regexp_extract(plain, _NUMBERED, 1), F.regexp_extract(plain, _NUMBERED, 2)
-    padded = F.ltrim(F.lit("0"), F.regexp_extract(plain, _NUMBERED, 3))
+    padded = F.regexp_replace(F.regexp_extract(plain, _NUMBERED, 3), "^0+", "")
     number = F.when(number != "", number).otherwise(F.when(padded != "", padded).otherwise("0"))
     return F.when(plain.rlike(_HASH) | ~plain.rlike(_NUMBERED), F.concat(F.lit("="), plain)).otherwise(F.concat_ws("#", exporter, number))
 

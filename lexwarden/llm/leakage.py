@@ -64,9 +64,10 @@ class LeakIndex:
             if leads:
                 self.machine.add_word(piece, (len(piece), leads))
         self.machine.make_automaton()
-        # Half of an item has about this many of its leading pieces; changed words may spoil three of four.
+        # Half of an item has half of its leading pieces, of which changed words may spoil a fifth.  Set phrases in a
+        # like order, which other texts of one style share, have fewer.
         leading = Counter(i for _, (_, leads) in self.machine.items() for i, _ in leads)
-        self.least = [max(1, leading[i] // 8) for i in range(len(self.texts))]
+        self.least = [max(1, 2 * leading[i] // 5) for i in range(len(self.texts))]
 
     def search(self, text: str) -> list[tuple[int, float, int, int]]:
         """(item, share of the item, first and last original offset of the passage) for each item the text holds."""

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexwarden.llm import bpe, leakage, overlap, token_count
 from lexwarden.llm import components as C
 from lexwarden.llm import quotas as Q
 from lexwarden.session import table
 
+#: Folder of the public vocabulary files, the same on every worker.
+TOKENIZERS = os.environ.get("LEXWARDEN_TOKENIZERS", "/opt/tokenizers")
+
 
 def _pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.pool(table(spark, sf_dir, "predictions"), "predictions").unionByName(Q.pool(table(spark, sf_dir, "sea_examples"), "sea_examples"))
@@ -37,6 +42,24 @@ def p1_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.available(_pools(spark, sf_dir), table(spark, sf_dir, "sample_targets"))
 
 
+def _prompt_forms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "canonical_examples")
+    held = F.when(F.col("source_split") == "train", False).when(F.col("source_split").isin("valid", "test"), True)
+    return overlap.normal_texts(rows, "prompt", held, [F.col("row_id"), F.col("source_split"), F.col("dataset_source")])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a train row and a valid or test row with the same or near-same prompt."""
+    rows, forms = _prompt_forms(spark, sf_dir)
+    return overlap.row_pairs(rows, overlap.linked_forms(forms), "row_id")
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping rows and pairs by held split and the sources of both sides."""
+    rows, forms = _prompt_forms(spark, sf_dir)
+    return overlap.overlap_report(rows, overlap.linked_forms(forms), ["source_split", "dataset_source"])
+
+
 def _source_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "canonical_examples").select("row_id", "source_id")
     return C.entity_components(rows, "row_id", [C.source_key(F.col("source_id")), F.col("source_id")])
@@ -61,6 +84,50 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.split_report(C.assign_splits(_source_members(spark, sf_dir), targets), targets)
 
 
+def _counted(spark: SparkSession, sf_dir: str, exact: bool = True) -> DataFrame:
+    rows = table(spark, sf_dir, "canonical_examples")
+    keep = ["row_id", "dataset_source", "language", F.col("category_scope").alias("domain")]
+    return token_count.token_counts(rows, "text", f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken", keep, exact)
+
+
+def p6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each text by byte_bpe_multi_50k, with its slice."""
+    return _counted(spark, sf_dir)
+
+
+def p6_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens by source, language and domain."""
+    return token_count.token_budget(_counted(spark, sf_dir), ["dataset_source", "language", "domain"])
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of each document by byte_bpe_50k."""
+    return bpe.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the evaluation items they hold."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the share of the item and the passage's place in the original text."""
+    return _leaks(spark, sf_dir).withColumn("share", F.round("share", 4))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items and documents by benchmark."""
+    items = table(spark, sf_dir, "eval_items").select("item_id", "benchmark")
+    found = _leaks(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"))
+    return items.join(found, "item_id", "left").groupBy("benchmark").agg(
+        F.count("*").alias("n_items"), F.count("n_docs").alias("n_leaked"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_doc_items")
+    )
+
+
 _SOURCE_SQL = """
 SELECT row_id, source_split, CASE
   WHEN source_id IS NULL THEN 'row:' || row_id
@@ -94,7 +161,7 @@ WITH s AS ({_SOURCE_SQL})
 SELECT row_id FROM s WHERE k IN (SELECT k FROM s GROUP BY k HAVING count(DISTINCT coalesce(source_split, '')) > 1)""",
 }
 
-_QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_available, p5_found, p5_splits, p5_report)}
+_QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_available, p4_found, p4_report, p5_found, p5_splits, p5_report, p6_tokens, p6_budget, p7_ids, p8_found, p8_passages, p8_report)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

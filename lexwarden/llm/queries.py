@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexwarden.llm import bpe, leakage, overlap, token_count
+from lexwarden.llm import bpe, garble, leakage, overlap, token_count
 from lexwarden.llm import components as C
 from lexwarden.llm import quotas as Q
 from lexwarden.session import table
@@ -128,6 +128,16 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled documents, how they were misread, and the restored text where it can be had."""
+    return garble.garbled_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Garbled documents."""
+    return p9_restored(spark, sf_dir).select("doc_id")
+
+
 _SOURCE_SQL = """
 SELECT row_id, source_split, CASE
   WHEN source_id IS NULL THEN 'row:' || row_id
@@ -161,7 +171,7 @@ WITH s AS ({_SOURCE_SQL})
 SELECT row_id FROM s WHERE k IN (SELECT k FROM s GROUP BY k HAVING count(DISTINCT coalesce(source_split, '')) > 1)""",
 }
 
-_QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_available, p4_found, p4_report, p5_found, p5_splits, p5_report, p6_tokens, p6_budget, p7_ids, p8_found, p8_passages, p8_report)}
+_QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_available, p4_found, p4_report, p5_found, p5_splits, p5_report, p6_tokens, p6_budget, p7_ids, p8_found, p8_passages, p8_report, p9_found, p9_restored)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

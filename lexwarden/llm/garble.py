@@ -42,9 +42,7 @@ REPERTOIRE = (
 _UTF8 = rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2})"
 _UTF8_RUN = re.compile(_UTF8 + rb"+")
 #: What right double-byte text does not have: three-byte sequences in a row, or many Arabic ones.
-_UTF8#: Double-byte kana read in a Western page: the lead bytes show as these two characters, again and again.
-_KANA_BYTES = re.compile(r"(?:[ƒ‚][^\s]){3,}")
-_FAR = re.compile(rb"(?:[\xe0-\xef][\x80-\xbf]{2}){2,}|(?:[\xd8-\xdb][\x80-\xbf]){6,}")
+_UTF8_FAR = re.compile(rb"(?:[\xe0-\xef][\x80-\xbf]{2}){2,}|(?:[\xd8-\xdb][\x80-\xbf]){6,}")
 _HIGH_WORD = re.compile(r"[^\x00-\x7f\s\u3000-\ufaff\uff00-\uffff]{3,}")
 _CONTROL = re.compile(r"[\x80-\x84\x86-\x9f]")
 #: Double-byte kana read in a Western page: the lead bytes show as these two characters, again and again.

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexwarden.llm import bpe, garble, leakage, overlap, token_count
+from lexwarden.llm import bpe, garble, leakage, overlap, pairs, token_count
 from lexwarden.llm import components as C
 from lexwarden.llm import quotas as Q
 from lexwarden.session import table
@@ -42,6 +42,17 @@ def p1_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.available(_pools(spark, sf_dir), table(spark, sf_dir, "sample_targets"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a response label and a defective response, with the defect."""
+    return pairs.broken_pairs(table(spark, sf_dir, "nemotron_raw"), "raw_id", "prompt", "response", "response_label")
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defects by language."""
+    rows = table(spark, sf_dir, "nemotron_raw").select("raw_id", "language")
+    return p2_found(spark, sf_dir).join(rows, "raw_id").groupBy("language", "defect").agg(F.count("*").alias("n_records"))
+
+
 def _prompt_forms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "canonical_examples")
     held = F.when(F.col("source_split") == "train", False).when(F.col("source_split").isin("valid", "test"), True)
@@ -171,7 +182,7 @@ WITH s AS ({_SOURCE_SQL})
 SELECT row_id FROM s WHERE k IN (SELECT k FROM s GROUP BY k HAVING count(DISTINCT coalesce(source_split, '')) > 1)""",
 }
 
-_QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_available, p4_found, p4_report, p5_found, p5_splits, p5_report, p6_tokens, p6_budget, p7_ids, p8_found, p8_passages, p8_report, p9_found, p9_restored)}
+_QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_available, p2_found, p2_report, p4_found, p4_report, p5_found, p5_splits, p5_report, p6_tokens, p6_budget, p7_ids, p8_found, p8_passages, p8_report, p9_found, p9_restored)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexwarden.plans import packed_fields
+from lexwarden.plans import evaluation, packed_fields, preparation
 
-MODULES = (packed_fields,)
+MODULES = (preparation, evaluation, packed_fields)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

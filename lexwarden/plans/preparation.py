@@ -170,13 +170,15 @@ def benchmark_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy("benchmark", "language", "view").agg(F.count("*").alias("n"), F.sum(F.octet_length("prompt")).alias("prompt_bytes"))
 
 
+#: Unicode white space for the regular expressions of DuckDB.
+_WS = "[\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{0085}\\x{000B}]+"
 _ALIAS = """CASE WHEN raw_language IN ('zh-CN','zh_CN','zh-cn') THEN 'zh' ELSE raw_language END"""
 _RAW = f"""
 raw AS (SELECT *, {_ALIAS} AS lang,
   CASE WHEN id IS NOT NULL AND id <> '' THEN id ELSE sha256(source_path || ':' || source_line) END AS sid,
   CASE WHEN regexp_extract(source_path, '([^/]+)\\.jsonl$', 1) = 'validation' THEN 'valid' ELSE regexp_extract(source_path, '([^/]+)\\.jsonl$', 1) END AS split,
   lower(coalesce(prompt_label, '')) AS pl, lower(coalesce(response_label, '')) AS rl,
-  list_filter(list_transform(string_split(coalesce(violated_categories, ''), ','), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS cats
+  list_filter(list_transform(string_split(coalesce(violated_categories, ''), ','), lambda x: regexp_replace(x, '^{_WS}|{_WS}$', '', 'g')), lambda x: x <> '') AS cats
   FROM (SELECT *, CASE WHEN language IS NOT NULL AND language <> '' THEN language ELSE list_extract(string_split(source_path, '/'), -2) END AS raw_language FROM nemotron_raw))
 """
 _VIEWS = f"""
@@ -209,9 +211,9 @@ WITH {_VIEWS}
 SELECT raw_id, 'nemotron_v3:' || sid || ':' || view || ':' || lang AS example_id, sid AS source_id, split AS source_split, 'nemotron_v3' AS dataset_source, lang AS language, view,
  'Prompt: ' || prompt || coalesce(chr(10) || 'Response: ' || answer, '') AS text, prompt, answer AS response, label AS safety_label, plabel AS prompt_safety_label,
  coalesce(array_to_string(c, '|'), '') AS categories, CASE WHEN view = 'PR' AND len(c) > 0 THEN 'interaction' ELSE 'unavailable' END AS category_scope FROM views""",
-    "canonical_text_roundtrip": """
-SELECT row_id, regexp_replace(regexp_replace(CASE WHEN pos > 0 THEN substr(text, 1, pos - 1) ELSE text END, '^Prompt:', ''), '^\\s+', '') AS prompt_back,
- CASE WHEN pos > 0 THEN regexp_replace(substr(text, pos + 10), '^\\s+', '') END AS response_back
+    "canonical_text_roundtrip": f"""
+SELECT row_id, regexp_replace(regexp_replace(CASE WHEN pos > 0 THEN substr(text, 1, pos - 1) ELSE text END, '^Prompt:', ''), '^{_WS}', '') AS prompt_back,
+ CASE WHEN pos > 0 THEN regexp_replace(substr(text, pos + 10), '^{_WS}', '') END AS response_back
 FROM (SELECT row_id, text, instr(text, chr(10) || 'Response:') AS pos FROM canonical_examples)""",
     "language_alias_filter": f"WITH {_RAW} SELECT lang AS language, count(*) AS n FROM raw WHERE lang IN ('en','ar','de','es','fr','hi','ja','th','zh') GROUP BY lang",
     "source_id_digest": f"""WITH {_RAW} SELECT raw_id, sid AS source_id, sha256(coalesce(prompt, '')) AS prompt_digest,

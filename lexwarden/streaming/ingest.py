@@ -22,7 +22,8 @@ def raw_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_t
 
 def canonical_stream(raw: DataFrame, delay: str = "3 days", languages: Sequence[str] = LANGUAGES) -> DataFrame:
     """Canonical rows as they come; of rows of one key within the watermark, the first to arrive stays."""
-    views = canonical_views(raw.withWatermark("loaded_at", delay), languages, keep=("loaded_at",))
+    timed = raw.withColumn("loaded_at", F.col("loaded_at").cast("timestamp")).withWatermark("loaded_at", delay)
+    views = canonical_views(timed, languages, keep=("loaded_at",))
     return views.dropDuplicatesWithinWatermark(["source_split", "source_id", "view", "language"])
 
 

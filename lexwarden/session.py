@@ -30,6 +30,16 @@ def local_session(cores: int | str = "*", app: str = "lexwarden", **conf: str) -
     return builder.getOrCreate()
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan over at least as many partitions as there are cores, for heavy narrow work.
+
+    A scan of many files stays as it is, without a shuffle; only a table of a few small files is dealt out.  For plain
+    scans and projections of them, as the plan is made to count the partitions.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
 

@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexwarden.session import spread
+
 #: Fixed value: the public pre-tokenisation pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pre-token ids kept per worker; a bound on memory, not on the result.
@@ -213,4 +215,4 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str, rows_per_
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids], [key, "ids"])
 
     kind = df.select(key).schema[0].dataType.simpleString()
-    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(encode, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(F.col(key), F.col(text).cast("string"))).mapInArrow(encode, f"`{key}` {kind}, ids array<int>")

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexwarden.session import spread
+
 #: Code pages in which UTF-8 is misread, most usual first, and legacy pages misread as Western ones.
 SINGLE_PAGES = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1256", "cp1250", "cp1254", "cp1253", "cp1258", "cp874", "koi8-r", "iso8859-15", "iso8859-2")
 DOUBLE_PAGES = ("gb18030", "cp932", "big5", "euc_kr")
@@ -43,7 +45,8 @@ _UTF8 = rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\
 _UTF8_RUN = re.compile(_UTF8 + rb"+")
 #: What right double-byte text does not have: three-byte sequences in a row, or many Arabic ones.
 _UTF8_FAR = re.compile(rb"(?:[\xe0-\xef][\x80-\xbf]{2}){2,}|(?:[\xd8-\xdb][\x80-\xbf]){6,}")
-_HIGH_WORD = re.compile(r"[^\x00-\x7f\s\u3000-\ufaff\uff00-\uffff]{3,}")
+#: Words of characters that upper halves of Western pages hold: Latin, Greek, signs, box drawing.
+_HIGH_WORD = re.compile("[\x80-\u024f\u02b0-\u03ff\u2010-\u25ff\ufb01\ufb02\uf8ff]{3,}")
 _CONTROL = re.compile(r"[\x80-\x84\x86-\x9f]")
 #: Double-byte kana read in a Western page: the lead bytes show as these two characters, again and again.
 _KANA_BYTES = re.compile(r"(?:[ƒ‚][^\s]){3,}")
@@ -311,4 +314,4 @@ def garbled_texts(df: DataFrame, key: str, text: str) -> DataFrame:
 
     kind = df.select(key).schema[0].dataType.simpleString()
     source = df.select(F.col(key), F.col(text).cast("string").alias("__text")).where(F.col("__text").isNotNull())
-    return source.mapInArrow(scan, f"`{key}` {kind}, way string, restored string")
+    return spread(source).mapInArrow(scan, f"`{key}` {kind}, way string, restored string")

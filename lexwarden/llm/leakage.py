@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexwarden.llm.wording import bare, bare_offsets, dense_script
+from lexwarden.session import spread
 
 STRIDE = 4
 #: Piece length for alphabetic and for dense scripts, and the short grams that confirm a candidate.
@@ -166,7 +167,7 @@ def leaked_items(df: DataFrame, key: str, text: str, items: DataFrame, item_key:
     chars = plain.agg(F.sum(F.length("item_text"))).first()[0] or 0
     passes = max(1, -(-chars // MAX_CHARS))
     kind = df.select(key).schema[0].dataType.simpleString()
-    source, out = df.select(F.col(key), F.col(text).cast("string").alias("__text")).where("__text is not null"), None
+    source, out = spread(df.select(F.col(key), F.col(text).cast("string").alias("__text")).where("__text is not null")), None
     for k in range(passes):
         own = plain.where(F.pmod(F.xxhash64("item_key"), F.lit(passes)) == k)
         sent = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])  # bounded by MAX_CHARS

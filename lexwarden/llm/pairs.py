@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexwarden.llm.wording import bare
+from lexwarden.session import spread
 
 #: What stands for no answer, in the bare form.
 PLACEHOLDERS = frozenset("null none nil nan na undefined empty blank noresponse noanswer noreply assistant response answer reply output todo tbd missing".split())
@@ -214,8 +215,30 @@ def is_copy(prompt: str, response: str) -> bool:
     return _lcs_share(a, b * max(1, -(-len(a) // max(1, len(b))))) >= 0.75
 
 
+def _plainly_one(text: str) -> str | None:
+    """The language of nearly all of the text, judged as a whole; None where sentences must be looked at."""
+    scripts = {name: n for name, find in _SCRIPTS if (n := sum(map(len, find(text))))}
+    if not scripts:
+        return None
+    name = max(scripts, key=scripts.get)
+    if scripts[name] < 0.9 * sum(scripts.values()):
+        return "ja" if {"kana", "han"} >= scripts.keys() else None
+    if name != "latin":
+        return {"kana": "ja", "han": "zh"}.get(name, name)
+    votes: Counter = Counter()
+    for word in _WORDS.findall(text.lower()):
+        known = _WORD_LANGUAGE.get(word)
+        if known and len(known) == 1:
+            votes[next(iter(known))] += 1
+    best = votes.most_common(1)
+    return best[0][0] if best and best[0][1] >= 4 and best[0][1] >= 0.9 * votes.total() else None
+
+
 def is_other_language(prompt: str, response: str) -> bool:
     """Most letters of the response are in another language than the prompt, which did not ask for it."""
+    plain = _plainly_one(response)
+    if plain is not None and plain == _plainly_one(prompt):
+        return False
     mine, theirs = main_language(languages(prompt)), languages(response)
     if mine is None:
         return False
@@ -298,4 +321,4 @@ def broken_pairs(df: DataFrame, key: str, prompt: str, response: str, label: str
 
     kind = df.select(key).schema[0].dataType.simpleString()
     source = df.where(F.col(label).isNotNull()).select(F.col(key), F.col(prompt).cast("string").alias("__p"), F.col(response).cast("string").alias("__r"))
-    return source.mapInArrow(scan, f"`{key}` {kind}, defect string")
+    return spread(source).mapInArrow(scan, f"`{key}` {kind}, defect string")

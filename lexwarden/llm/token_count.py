@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexwarden.llm.bpe import Encoder, load_encoder
+from lexwarden.session import spread
 
 #: Pre-token counts kept per worker, and the longest pre-token kept; bounds on memory, not on the result.
 CACHE_SIZE, CACHE_CHARS = 1 << 18, 24
@@ -174,7 +175,7 @@ def token_counts(df: DataFrame, text: str | Column, vocabulary: str, keep: Seque
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(numbers, pa.int64())], [*batch.schema.names[:-1], "n_tokens"])
 
     out = source.drop("__text").schema.add("n_tokens", "long")
-    return source.mapInArrow(count, out)
+    return spread(source).mapInArrow(count, out)
 
 
 def token_budget(counted: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -110,6 +110,9 @@ def _utf8_in_single(text: str) -> list[tuple[int, int, str]]:
                 continue
             hits.pop()
         hits.append(hit)
+    if not hits:
+        return []
+    hits = _covering(text, hits)
     if not hits:
         return []
     good: list[tuple[int, int, str]] = []
@@ -126,6 +129,8 @@ def _utf8_in_single(text: str) -> list[tuple[int, int, str]]:
             holds = holds or (strong >= 1 and page != "cp1256" and _beside_latin(text, low, high))
         else:
             holds = (longest >= 3 and strong >= 1) or len(run) >= 3 or strong >= 2 or (strong >= 1 and _beside_latin(text, low, high))
+        # Punctuation whose garbled form is all letters.
+        holds = holds or (longest >= 3 and any(0x2010 <= h[2] <= 0x203A for h in run) and page not in LETTER_PAGES and _beside_latin(text, low, high))
         # A capital inside a word, or a section sign and its like standing alone.
         holds = holds or (text[low].isupper() and "a" <= text[low - 1 : low] <= "z" and page not in LETTER_PAGES)
         holds = holds or (len(run) == 1 and strong == 1 and chr(run[0][2]) in "§°·«»©®±" and not text[low - 1 : low].strip() and not text[high : high + 1].strip())
@@ -140,10 +145,32 @@ def _utf8_in_single(text: str) -> list[tuple[int, int, str]]:
     settle()
     if good and len(good) < len(hits):  # beside sure spans of a page, single sequences of it count too
         pages = {h[3] for h in hits if (h[0], h[1], chr(h[2])) in set(good)}
-        good = sorted({*good, *((h[0], h[1], chr(h[2])) for h in hits if h[3] in pages and SINGLE_PAGES[h[3]] not in LETTER_PAGES)})
+        joined = [h for h in hits if h[3] in pages and (SINGLE_PAGES[h[3]] not in LETTER_PAGES or text[h[0] - 1 : h[0]].isascii() and _NEAR_LETTER.search(text[max(0, h[0] - 1) : h[0]] + text[h[1] : h[1] + 1]))]
+        good = sorted({*good, *((h[0], h[1], chr(h[2])) for h in joined)})
     return good
 
 
+def _covering(text: str, hits: list[tuple[int, int, int, int, bool]]) -> list[tuple[int, int, int, int, bool]]:
+    """The hits in stretches of upper-half characters that hits make up for the most part.
+
+    Text of a legacy page also has a sequence here and there, but only by chance.
+    """
+    out: list[tuple[int, int, int, int, bool]] = []
+    i = 0
+    while i < len(hits):
+        back = _back(SINGLE_PAGES[hits[i][3]])
+        low, high = hits[i][0], hits[i][1]
+        while low > 0 and text[low - 1] in back:
+            low -= 1
+        while high < len(text) and text[high] in back:
+            high += 1
+        inside = [h for h in hits[i:] if h[0] < high]
+        if sum(h[1] - h[0] for h in inside) >= 0.6 * (high - low):
+            out += inside
+        i += len(inside)
+    return out
+
+
 def _beside_latin(text: str, low: int, high: int) -> bool:
     """Whether a letter of English stands at either end, a blank between set aside."""
     return bool(_NEAR_LETTER.search(text[max(0, low - 2) : low]) or _NEAR_LETTER.search(text[high : high + 2]))
@@ -199,6 +226,26 @@ def _script(c: str) -> str:
 _WANTED = {"cp1256": ("arabic",), "iso8859-6": ("arabic",), "cp874": ("thai",), "euc_jp": ("kana", "han"), "cp932": ("kana", "han"), "gbk": ("han",), "big5": ("han",), "euc_kr": ("hangul",), "koi8-r": ("cyrillic",), "cp1251": ("cyrillic",)}
 
 
+#: Lead bytes of the usual characters of double-byte pages, where nearly any bytes are characters.
+_USUAL_LEAD = {"gbk": ("gb2312", 0xB0, 0xD7), "big5": ("big5", 0xA4, 0xC6), "euc_jp": ("euc_jp", 0xB0, 0xCF), "cp932": ("cp932", 0x88, 0x97)}
+
+
+def _plausible(legacy: str, meant: list[str], kinds: list[str]) -> float:
+    """How much the reading looks like text of its language, from 0 to 1."""
+    if legacy == "cp874":
+        # Marks stand on consonants; a mark after anything else is no Thai.
+        odd = sum(unicodedata.category(c) == "Mn" and not ("ก" <= p <= "ฮ" or unicodedata.category(p) == "Mn") for p, c in zip([" ", *meant], meant))
+        rare = sum(c in "ฃฅฆฌฎฏฐฑฒฤฦฬฯ๏๐๑๒๓๔๕๖๗๘๙๚๛" for c in meant)
+        return max(0.0, 1 - 6 * odd / len(meant) - 2 * rare / len(meant))
+    if legacy in _USUAL_LEAD:
+        page, low, high = _USUAL_LEAD[legacy]
+        han = [c for c, k in zip(meant, kinds) if k == "han"]
+        usual = sum(len(e := c.encode(page, "ignore")) == 2 and low <= e[0] <= high for c in han)
+        kana = min(1.0, 4 * kinds.count("kana") / len(meant)) if legacy in ("euc_jp", "cp932") else 1.0
+        return kana * (usual / len(han) if han else 1.0)
+    return 0.8 if legacy in ("cp1251", "koi8-r") else 1.0
+
+
 def _legacy(text: str) -> tuple[str, str] | None:
     """(Western page, legacy page) if upper-half words of the text are one script in a legacy page."""
     if _KANA_BYTES.search(text):
@@ -210,7 +257,7 @@ def _legacy(text: str) -> tuple[str, str] | None:
     best: tuple[float, str, str] | None = None
     for western in WESTERN_PAGES:
         back = _back(western)
-        inside = [w for w in words if all(c in back for c in w) and sum(unicodedata.category(c)[0] in "LS" for c in w) >= 2]
+        inside = [w for w in words if all(c in back for c in w) and sum(unicodedata.category(c)[0] in "LS" and not "\u2500" <= c <= "\u259f" for c in w) >= 2]
         # Double bytes may take in ASCII, so whole lines are read; single bytes need the words only.
         lines = [line for line in text.split("\n") if sum(c in back for c in line) >= 8 and all(c < "\x80" or c in back for c in line)]
         for legacy in LEGACY_PAGES:
@@ -226,14 +273,7 @@ def _legacy(text: str) -> tuple[str, str] | None:
                 continue
             kinds = [_script(c) for c in meant]
             right = sum(k in _WANTED[legacy] for k in kinds)
-            share = (right + 0.5 * kinds.count("mark")) / len(meant)
-            if legacy in ("gbk", "big5", "euc_kr"):  # nearly any bytes are characters there: common ones must prevail
-                common = sum("一" <= c <= "鿿" and len(e := c.encode("gb2312", "ignore")) == 2 and 0xB0 <= e[0] <= 0xD7 for c in meant) if legacy == "gbk" else right
-                share *= common / max(1, right)
-            if legacy in ("euc_jp", "cp932"):
-                share *= min(1.0, 4 * kinds.count("kana") / len(meant))
-            if legacy == "cp1251" or legacy == "koi8-r":
-                share *= 0.8
+            share = (right + 0.5 * kinds.count("mark")) / len(meant) * _plausible(legacy, meant, kinds)
             if share > (best[0] if best else 0.75):
                 best = (share, western, legacy)
     if best:
@@ -249,8 +289,10 @@ def examine(text: str | None) -> tuple[str, str | None] | None:
     if not text or text.isascii():
         return None
     way, restored = None, text
-    spans = _utf8_in_single(text)
-    if spans:
+    spans, pages = _utf8_in_single(text), None
+    if spans and 2 * sum(b - a for a, b, _ in spans) < sum(map(len, _HIGH_WORD.findall(text))):
+        pages = _legacy(text)  # sequences by chance within text of a legacy page
+    if spans and not pages:
         way = "utf-8 in a single-byte page"
         parts, at = [], 0
         for low, high, meant in spans:
@@ -260,10 +302,10 @@ def examine(text: str | None) -> tuple[str, str | None] | None:
         again = _utf8_in_single(restored)  # misread twice
         if again:
             return way, examine(restored)[1]
-    elif _FAR.search(text) and (page := _utf8_in_double(text)):
+    elif not pages and _FAR.search(text) and (page := _utf8_in_double(text)):
         way = "utf-8 in a double-byte page"
         restored = _turn_back(text, page)
-    elif pages := _legacy(text):
+    elif pages := pages or _legacy(text):
         way = "legacy page in a Western page"
         restored = _turn_words(text, *pages)
     elif "�" in text:

@@ -29,6 +29,13 @@ def load_config(path: str) -> dict:
     return value
 
 
+def write_config(value: Mapping, path: str) -> None:
+    """A configuration file that :func:`load_config` reads; JSON, which is YAML as well."""
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(dict(value), file, ensure_ascii=False, indent=2)
+        file.write("\n")
+
+
 def registered_tasks(path: str, suite: str = "seahelm", language: str = "vi") -> set[str]:
     """Task names of a suite and language; empty without the file or the keys."""
     if not os.path.exists(path):

@@ -7,6 +7,7 @@ import fnmatch
 import io
 import json
 import os
+import shutil
 import stat
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -97,6 +98,29 @@ def merged_members(members: DataFrame, expected: Sequence[str]) -> DataFrame:
     return seen.join(wanted, "name", "full").select("name", F.coalesce("n", F.lit(0)).alias("n")).where("n <> 1")
 
 
+def merge_archives(parts: Sequence[str], out: str, expected: Sequence[str] = ()) -> int:
+    """One ZIP of the members of several, on the driver; a repeated or missing member raises and leaves nothing behind."""
+    seen: set[str] = set()
+    draft = out + ".part"
+    try:
+        with zipfile.ZipFile(draft, "w", zipfile.ZIP_DEFLATED) as target:
+            for part in parts:
+                with zipfile.ZipFile(part) as source:
+                    for name in source.namelist():
+                        if name in seen:
+                            raise ValueError(f"repeated member: {name}")
+                        seen.add(name)
+                        with source.open(name) as a, target.open(name, "w", force_zip64=True) as b:
+                            shutil.copyfileobj(a, b, 1 << 20)
+        if lost := sorted(set(expected) - seen):
+            raise ValueError(f"missing members: {lost}")
+        os.replace(draft, out)
+    finally:
+        if os.path.exists(draft):
+            os.unlink(draft)
+    return len(seen)
+
+
 def match_archive(folder: str, patterns: Sequence[str]) -> str | None:
     """The one file whose name fits a pattern, case set aside; None if none does, more than one raises."""
     names = sorted(n for n in os.listdir(folder) if any(fnmatch.fnmatchcase(n.lower(), p.lower()) for p in patterns))
@@ -153,6 +177,13 @@ def readiness(spark: SparkSession, expected: Sequence[tuple[str, str]]) -> DataF
     return spark.createDataFrame(rows, "key string, path string, ready boolean, bytes long")
 
 
+def check_ready(status: DataFrame) -> None:
+    """Raises, naming the keys that are not ready."""
+    missing = sorted(r["key"] for r in status.where(~F.col("ready")).select("key").collect())
+    if missing:
+        raise ValueError("not ready: " + ", ".join(missing))
+
+
 def next_actions(status: DataFrame, advice: DataFrame) -> DataFrame:
     """(``step``, ``advice``, ``missing``): steps of which some file is missing.  ``advice``: (``key``, ``step``, ``advice``)."""
     open_keys = status.where(~F.col("ready")).select("key")

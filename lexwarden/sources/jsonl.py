@@ -22,7 +22,10 @@ MAX_BROADCAST_BLOCKS = 200_000
 
 
 def numbered_lines(spark: SparkSession, path: str | list[str], name_glob: str | None = None, line_sep: str | None = None) -> DataFrame:
-    """(``source_path``, ``source_line``, ``value``): every physical line, blank ones included, numbered from 1."""
+    """(``source_path``, ``source_line``, ``value``): every physical line, blank ones included, numbered from 1.
+
+    Counts the lines of the file blocks when called (one narrow job).
+    """
     reader = spark.read.option("recursiveFileLookup", "true")
     if name_glob:
         reader = reader.option("pathGlobFilter", name_glob)

@@ -122,6 +122,30 @@ def test_config(spark, tmp_path):
     assert config.merged_settings({"a": 1, "b": 2}, {"b": 3}) == {"a": 1, "b": 3}
 
 
+def test_merge_and_contract(spark, tmp_path):
+    for name, member in (("a", "en/train.jsonl"), ("b", "en/test.jsonl"), ("c", "en/test.jsonl")):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr(member, '{"id": "1"}\n')
+    part = {n: str(tmp_path / f"{n}.zip") for n in "abc"}
+    out = str(tmp_path / "out.zip")
+    assert files.merge_archives([part["a"], part["b"]], out, ["en/train.jsonl", "en/test.jsonl"]) == 2
+    with pytest.raises(ValueError, match="repeated"):
+        files.merge_archives([part["b"], part["c"]], str(tmp_path / "x.zip"))
+    with pytest.raises(ValueError, match="missing"):
+        files.merge_archives([part["a"]], str(tmp_path / "x.zip"), ["en/test.jsonl"])
+    assert not list(tmp_path.glob("x.zip*"))
+    (tmp_path / "r.jsonl").write_text('{"id": "1", "prompt": "p"}\n')
+    assert jsonl.read_contract(spark, str(tmp_path / "r.jsonl"), RAW_NEMOTRON).first().prompt == "p"
+    (tmp_path / "r.jsonl").write_text("{bad\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        jsonl.read_contract(spark, str(tmp_path / "r.jsonl"), RAW_NEMOTRON).collect()
+    config.write_config({"a": [1]}, str(tmp_path / "c.yaml"))
+    assert config.load_config(str(tmp_path / "c.yaml")) == {"a": [1]}
+    status = files.readiness(spark, [("x", out), ("y", str(tmp_path / "none"))])
+    with pytest.raises(ValueError, match="not ready: y"):
+        files.check_ready(status)
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("e1", "en", "P", "p", "safe", None)], "example_id string, language string, view string, prompt string, safety_label string, response string")
     sinks.write_benchmark(df, str(tmp_path / "b"))

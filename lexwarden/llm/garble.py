@@ -49,7 +49,7 @@ _UTF8_FAR = re.compile(rb"(?:[\xe0-\xef][\x80-\xbf]{2}){2,}|(?:[\xd8-\xdb][\x80-
 _HIGH_WORD = re.compile("[\x80-\u024f\u02b0-\u03ff\u2010-\u25ff\ufb01\ufb02\uf8ff]{3,}")
 _CONTROL = re.compile(r"[\x80-\x84\x86-\x9f]")
 #: Double-byte kana read in a Western page: the lead bytes show as these two characters, again and again.
-_KANA_BYTES = re.compile(r"(?:[ƒ‚][^\s]){3,}")
+_KANA_BYTES = re.compile(r"(?:[ƒ‚][^\s]){3,}|(?:ƒ[^\s]){2,}")
 _FAR = re.compile(r"[㐀-鿿-｡-ﾟ가-힣]")
 _NEAR_LETTER = re.compile(r"[A-Za-z]")
 _HAN_IN_LATIN = re.compile(r"(?<=[A-Za-z])[一-鿿](?![぀-鿿])|(?<![぀-鿿])[一-鿿](?=[A-Za-z])")

@@ -280,7 +280,7 @@ def _legacy(text: str) -> tuple[str, str] | None:
         return best[1], best[2]
     # A long word of upper-half letters only is no word of a Western language, whatever it was.
     back = _back("cp1252")
-    odd = any(len(w) >= 6 and all(c in back for c in w) and sum(unicodedata.category(c)[0] == "L" for c in w) >= 5 for w in words)
+    odd = any(len(w) >= 6 and all(c in back for c in w) and sum(unicodedata.category(c)[0] == "L" for c in w) >= 4 for w in words)
     return ("cp1252", "gb18030") if odd else None
 
 

@@ -220,11 +220,13 @@ def _plainly_one(text: str) -> str | None:
     scripts = {name: n for name, find in _SCRIPTS if (n := sum(map(len, find(text))))}
     if not scripts:
         return None
-    name = max(scripts, key=scripts.get)
-    if scripts[name] < 0.9 * sum(scripts.values()):
-        return "ja" if {"kana", "han"} >= scripts.keys() else None
+    name, total = max(scripts, key=scripts.get), sum(scripts.values())
+    if kana := scripts.get("kana"):  # Japanese is mixed, but so is Chinese beside a Japanese sentence
+        return "ja" if kana >= 0.4 * total and kana + scripts.get("han", 0) >= 0.9 * total else None
+    if scripts[name] < 0.9 * total:
+        return None
     if name != "latin":
-        return {"kana": "ja", "han": "zh"}.get(name, name)
+        return {"han": "zh"}.get(name, name)
     votes: Counter = Counter()
     for word in _WORDS.findall(text.lower()):
         known = _WORD_LANGUAGE.get(word)

@@ -54,6 +54,14 @@ def test_good_answers(prompt, text):
     assert defect(prompt, text) is None
 
 
+def test_chinese_after_a_japanese_sentence():
+    prompt = "隣の住人ヴィトヴィは電車の車庫の近くで他人の日記に31188枚の硬貨を出したがユロリトは断った。"
+    own = "ソミテヴィは夜勤の係員モネソミが人前で来客名簿をすり替えたと気づいた。"
+    chinese = "没有人问版主为何举报了仿制的印章。审计期间，代课老师在旧高架桥下卖掉了伪造的许可证。隔壁邻居在罐头厂后面翻译了上锁的工具箱。"
+    assert defect(prompt, f"{own} {chinese}") == "other_language"
+    assert defect(prompt, own + own) is None
+
+
 def test_asked_language():
     assert asked_language("… 请用日文回答。") == {"ja"} and asked_language("He is German.") == set() and asked_language("Réponds en allemand.") == {"de"}
 

@@ -226,6 +226,8 @@ def _script(c: str) -> str:
 _WANTED = {"cp1256": ("arabic",), "iso8859-6": ("arabic",), "cp874": ("thai",), "euc_jp": ("kana", "han"), "cp932": ("kana", "han"), "gbk": ("han",), "big5": ("han",), "euc_kr": ("hangul",), "koi8-r": ("cyrillic",), "cp1251": ("cyrillic",)}
 
 
+#: Legacy pages of two bytes a character.
+_DOUBLE_LEGACY = frozenset(("euc_jp", "cp932", "gbk", "big5", "euc_kr"))
 #: Lead bytes of the usual characters of double-byte pages, where nearly any bytes are characters.
 _USUAL_LEAD = {"gbk": ("gb2312", 0xB0, 0xD7), "big5": ("big5", 0xA4, 0xC6), "euc_jp": ("euc_jp", 0xB0, 0xCF), "cp932": ("cp932", 0x88, 0x97)}
 
@@ -246,6 +248,95 @@ def _plausible(legacy: str, meant: list[str], kinds: list[str]) -> float:
     return 0.8 if legacy in ("cp1251", "koi8-r") else 1.0
 
 
+@lru_cache(maxsize=1 << 16)
+def _unit(raw: bytes, legacy: str) -> str:
+    """The one character that the bytes are in the legacy page, or nothing."""
+    try:
+        meant = raw.decode(legacy)
+    except UnicodeDecodeError:
+        return ""
+    return meant if len(meant) == 1 and meant >= "\xa0" else ""
+
+
+class _Stretch:
+    """Neighbouring characters of a Western page, blanks, digits and signs between them set aside, read in a legacy page.
+
+    ``units``: (from, to, meant) of each character, meant is U+FFFD where the legacy page has none.
+    """
+
+    def __init__(self, units: list[tuple[int, int, str]]) -> None:
+        self.units = units
+        self.meant = [m for _, _, m in units]
+        self.kinds = [_script(m) for m in self.meant]
+
+    def share(self, legacy: str) -> float:
+        """How far the reading is text of the legacy page's script, from 0 to 1."""
+        right = sum(k in _WANTED[legacy] for k in self.kinds)
+        return (right + 0.5 * self.kinds.count("mark")) / len(self.meant) * _plausible(legacy, self.meant, self.kinds)
+
+
+def _read_run(text: str, low: int, high: int, codes: list[int], legacy: str) -> list[tuple[int, int, str]]:
+    """The characters of a run of upper-half characters in the legacy page; the last may take an ASCII trail byte beyond ``high``."""
+    sizes = ((3, 2, 1) if legacy == "euc_jp" else (2, 1)) if legacy in _DOUBLE_LEGACY else (1,)
+    out, at = [], low
+    while at < high:
+        for size in sizes:
+            part = codes[at : at + size]
+            if len(part) == size and min(part) >= 0 and (meant := _unit(bytes(part), legacy)):
+                break
+        else:
+            size, meant = 1, "\ufffd"
+        out.append((at, at + size, meant))
+        at += size
+    return out
+
+
+def _stretches(text: str, western: str, legacy: str) -> list[_Stretch]:
+    """The stretches of the text that can be written in the Western page.
+
+    Any other character ends a stretch, also an ASCII letter that is no trail byte and a new line, so that right text on
+    the same line stays out.  A few upper-half letters within a Western word are that word's own.
+    """
+    back = _back(western)
+    codes = [ord(c) if c < "\x80" else back.get(c, -1) for c in text]
+    out: list[_Stretch] = []
+    units: list[tuple[int, int, str]] = []
+    at, n = 0, len(text)
+    while at < n:
+        if codes[at] < 0x80:
+            if units and (codes[at] < 0 or text[at].isalpha() or text[at] == "\n"):
+                out.append(_Stretch(units))
+                units = []
+            at += 1
+            continue
+        low = at
+        run: list[tuple[int, int, str]] = []
+        while at < n and codes[at] >= 0x80:  # an ASCII trail byte may lie between
+            high = at
+            while high < n and codes[high] >= 0x80:
+                high += 1
+            part = _read_run(text, at, high, codes, legacy)
+            if legacy in _DOUBLE_LEGACY and high - at > 2:  # a right sign or letter may stand before the lead byte
+                other, gain = _read_run(text, at + 1, high, codes, legacy), 0.1
+                if unicodedata.category(text[at])[0] != "P" and all(m != "\ufffd" for _, _, m in part):
+                    gain = 0.4 if high - at >= 8 else 2
+                if _Stretch(other).share(legacy) > _Stretch(part).share(legacy) + gain:
+                    part = [(at, at + 1, "")] + other
+            run += part
+            at = part[-1][1]
+        held = text[low:at]
+        beside = _NEAR_LETTER.search(text[low - 1 : low] + text[at : at + 1] if low else text[at : at + 1]) or _NEAR_LETTER.search(held)
+        if beside and sum(c >= "\x80" for c in held) < (3 if legacy in _DOUBLE_LEGACY else 4) and all(c.isalpha() for c in held):
+            if units:
+                out.append(_Stretch(units))
+                units = []
+            continue
+        units += [u for u in run if u[2]]
+    if units:
+        out.append(_Stretch(units))
+    return out
+
+
 def _legacy(text: str) -> tuple[str, str] | None:
     """(Western page, legacy page) if upper-half words of the text are one script in a legacy page."""
     if _KANA_BYTES.search(text):
@@ -258,22 +349,21 @@ def _legacy(text: str) -> tuple[str, str] | None:
     for western in WESTERN_PAGES:
         back = _back(western)
         inside = [w for w in words if all(c in back for c in w) and sum(unicodedata.category(c)[0] in "LS" and not "\u2500" <= c <= "\u259f" for c in w) >= 2]
-        # Double bytes may take in ASCII, so whole lines are read; single bytes need the words only.
-        lines = [line for line in text.split("\n") if sum(c in back for c in line) >= 8 and all(c < "\x80" or c in back for c in line)]
         for legacy in LEGACY_PAGES:
-            double = legacy in ("euc_jp", "cp932", "gbk", "big5", "euc_kr")
-            if double and western == "mac_roman":
+            if legacy in _DOUBLE_LEGACY:
+                if western == "mac_roman":
+                    continue
+                # Double bytes may take in ASCII, so stretches are read; single bytes need the words only.
+                parts = [s for s in _stretches(text, western, legacy) if sum(c >= "\x80" for low, high, _ in s.units for c in text[low:high]) >= 8]
+                whole = _Stretch([u for s in parts for u in s.units])
+            elif sum(map(len, inside)) < 6:
                 continue
-            parts = lines if double else inside
-            if sum(map(len, parts)) < 6:
+            else:
+                raw = b" ".join(to_bytes(w, western) or b"" for w in inside)
+                whole = _Stretch([(0, 0, c) for c in raw.decode(legacy, "replace") if c >= "\x80"])
+            if len(whole.meant) < 3:
                 continue
-            raw = b" ".join(to_bytes(p, western) or b"" for p in parts)
-            meant = [c for c in raw.decode(legacy, "replace") if c >= "\x80"]
-            if len(meant) < 3:
-                continue
-            kinds = [_script(c) for c in meant]
-            right = sum(k in _WANTED[legacy] for k in kinds)
-            share = (right + 0.5 * kinds.count("mark")) / len(meant) * _plausible(legacy, meant, kinds)
+            share = whole.share(legacy)
             if share > (best[0] if best else 0.75):
                 best = (share, western, legacy)
     if best:
@@ -281,7 +371,7 @@ def _legacy(text: str) -> tuple[str, str] | None:
     # A long word of upper-half letters only is no word of a Western language, whatever it was.
     back = _back("cp1252")
     odd = any(len(w) >= 6 and all(c in back for c in w) and sum(unicodedata.category(c)[0] == "L" for c in w) >= 4 for w in words)
-    return ("cp1252", "gb18030") if odd else None
+    return ("cp1252", "gbk") if odd else None
 
 
 def examine(text: str | None) -> tuple[str, str | None] | None:
@@ -314,7 +404,7 @@ def examine(text: str | None) -> tuple[str, str | None] | None:
         return "control characters", None
     if way is None:
         return None
-    lost = "�" in restored or _CONTROL.search(restored)
+    lost = restored is None or "�" in restored or _CONTROL.search(restored)
     return way, None if lost else restored
 
 
@@ -328,19 +418,27 @@ def _turn_back(text: str, page: str) -> str:
     return "".join([*out, raw[at:].decode(page, "replace")])
 
 
-def _turn_words(text: str, western: str, legacy: str) -> str:
-    """Rereads lines that can be written in the Western page and then read in the legacy one."""
-    out = []
-    for line in text.split("\n"):
-        raw = to_bytes(line, western)
-        if raw is None or line.isascii():
-            out.append(line)
-            continue
-        try:
-            out.append(raw.decode(legacy))
-        except UnicodeDecodeError:
-            out.append(raw.decode(legacy, "replace"))
-    return "\n".join(out)
+def _turn_words(text: str, western: str, legacy: str) -> str | None:
+    """Rereads the stretches that are text of the legacy page; everything else stays.  None if garbled runs are left."""
+    parts, at, left = [], 0, False
+    found = [(s, text.count("\n", 0, s.units[0][0])) for s in _stretches(text, western, legacy)]
+    clean = [all(k in (*_WANTED[legacy], "mark") for k in s.kinds) for s, _ in found]
+    sure = [len(s.meant) >= 3 and sum(k in (*_WANTED[legacy], "mark") for k in s.kinds) >= 0.8 * len(s.meant) and s.share(legacy) > 0.4 for s, _ in found]
+    lines = {line for (_, line), is_sure in zip(found, sure) if is_sure}
+    for (s, line), is_clean, is_sure in zip(found, clean, sure):
+        high_ones = [c for low, high, _ in s.units for c in text[low:high] if c >= "\x80"]
+        # Short ones are taken where they are no Western word: beside sure ones, or with signs in them, or kana.
+        if is_sure or is_clean and (len(high_ones) >= 4 or line in lines or "kana" in s.kinds or not all(map(str.isalpha, high_ones))):
+            for low, high, meant in s.units:
+                if meant != "\ufffd":
+                    parts += [text[at:low], meant]
+                    at = high
+                else:
+                    left = left or text[low].isalpha()
+    restored = "".join([*parts, text[at:]])
+    back = _back(western)
+    left = left or any(sum(unicodedata.category(c)[0] in "LS" and not "\u2500" <= c <= "\u259f" for c in w) >= 2 for w in _HIGH_WORD.findall(restored) if all(c in back for c in w))
+    return None if left or restored == text else restored
 
 
 def garbled_texts(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -68,6 +68,19 @@ def test_right_text_is_left_alone(text):
     assert examine(text) is None
 
 
+@pytest.mark.parametrize(("code", "real", "page"), [("ja", "euc_jp", "cp1252"), ("ja", "cp932", "cp1252"), ("zh", "gbk", "cp1252"), ("ar", "cp1256", "cp1252"), ("ar", "cp1256", "mac_roman"), ("th", "cp874", "cp1252")])
+@pytest.mark.parametrize("other", ["ja", "zh", "ar", "th", "de"])
+def test_legacy_span_beside_right_text_on_the_line(code, real, page, other):
+    right = f"{TEXTS[other]} Das Mädchen heißt Zoë; naïve Ängste. "
+    for before, after in ((right, ""), ("", " " + right), (TEXTS[other], TEXTS["ja"])):
+        assert examine(before + misread(TEXTS[code], real, page) + after)[1] == before + TEXTS[code] + after
+
+
+def test_not_restored_while_garbled_runs_are_left():
+    way, restored = examine(TEXTS["ja"] + misread(TEXTS["ja"], "euc_jp", "cp1252") + "ÿÿÿÿ")
+    assert way == "legacy page in a Western page" and restored is None
+
+
 def test_operator(spark):
     bad = misread(TEXTS["fr"], "utf-8", "cp1252")
     df = spark.createDataFrame([(1, bad, "a"), (2, None, "b"), (3, "", "c"), (4, TEXTS["fr"], "d"), (1, bad, "a"), (5, bad * 500, "e")], "doc_id long, text string, restored string")

@@ -1,14 +1,13 @@
 """Same and near-same records across splits (problem 4).
 
-Prompts are reduced to normal forms; equal forms are one text, so that copies cost nothing more.  Texts of the two
-sides are routed by sketches of character shingles (banded one-permutation minima, no pairs within a bucket of one side)
-to shards of evaluation texts.  In each shard a compressed full-text index (the Burrows-Wheeler transform with sampled
-ranks) of the evaluation texts is built, the training texts routed there stream through it by backward search, and
-their maximal matches are located and merged into spans per pair.  Pairs whose spans cover a quarter of the text go to an
-exact check: at most one of eight characters differs.
+Prompts are reduced to normal forms; equal forms are one text, so that copies cost nothing more.  Every pair of a training
+and an evaluation text that can differ in one of eight characters at most is looked at: blocks of texts of like length
+and script are held against each other by bit sets of their 3-character grams.  ``k`` edits spoil at most ``3 k`` of a
+text's grams, also of those that share a bit, so the count loses no pair; what it leaves goes to an exact check by
+bit-parallel edit distance.  For the pairs found, a compressed full-text index (the Burrows-Wheeler transform with sampled
+ranks) of the evaluation texts gives the maximal matches by backward search, which are merged into spans.
 
-Routing keeps the work in proportion to the data; streaming all training texts through every shard would be the
-product of both sides.
+The blocks are the product of both sides within a length class and script.
 
 Defined results: null prompts and prompts without letters or digits match nothing; repeated rows give one pair each;
 an empty side gives no pairs.
@@ -16,7 +15,8 @@ an empty side gives no pairs.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -30,8 +30,12 @@ from lexwarden.session import cut
 
 #: Sketch: shingle length in characters, bands, and minima per band.
 SHINGLE, DENSE_SHINGLE, BANDS, WIDTH = 8, 4, 20, 5
-#: Matches shorter than this say nothing about a pair.
+#: Shorter matches are not reported as spans.
 LEAST_MATCH = 10
+#: Grams of the exact filter: length in characters, bits of the sets that are held against each other first and then.
+GRAM, BITS, MORE_BITS = 3, 1024, 8192
+#: Texts of either side in a block at most, about.
+BLOCK = 4096
 #: A pair is near-same if at most this share of the longer text's characters differs.
 TOLERANCE = 1 / 8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -50,6 +54,8 @@ def band_keys(texts: Sequence[str]) -> np.ndarray:
 
     One hash per shingle; it falls into one of ``BANDS * WIDTH`` bins by its high bits, each bin keeps its minimum, and
     an empty bin borrows that of a bin chosen by rehashing its number, alike for all texts.
+
+    Texts with many changes spread over them share no key, so :func:`near_pairs` does not rest on it.
     """
     m, bins = len(texts), BANDS * WIDTH
     if m == 0:
@@ -168,31 +174,29 @@ class TextIndex:
 
 
 def edit_distance_within(a: str, b: str, limit: int) -> bool:
-    """Whether at most ``limit`` characters are put in, left out or changed; a banded table, one vector a row."""
+    """Whether at most ``limit`` characters are put in, left out or changed; a column of the table is two bit vectors."""
     if abs(len(a) - len(b)) > limit:
         return False
-    if a == b:
+    if a == b or not a or not b:
         return True
-    x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    # Equal ends need no table.
-    short = min(len(x), len(y))
-    head = int(np.argmin(np.append(x[:short] == y[:short], False)))
-    x, y = x[head:], y[head:]
-    short = min(len(x), len(y))
-    tail = int(np.argmin(np.append(x[::-1][:short] == y[::-1][:short], False)))
-    x, y = x[: len(x) - tail], y[: len(y) - tail]
-    if len(x) == 0 or len(y) == 0:
-        return max(len(x), len(y)) <= limit
-    index = np.arange(len(y) + 1)
-    row = index.copy()
-    for i, c in enumerate(x, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != c))
-        row = np.minimum.accumulate(new - index) + index
-        if row.min() > limit:
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    score, left = len(a), len(b)
+    full, top = (1 << score) - 1, 1 << score - 1
+    up, down = full, 0  # where the table rises and falls from row to row
+    for c in b:
+        equal = at.get(c, 0)
+        level = equal | down
+        across = (((equal & up) + up) ^ up) | equal
+        rise, fall = down | (full & ~(across | up)), up & across
+        score += bool(rise & top) - bool(fall & top)
+        left -= 1
+        if score - left > limit:
             return False
-    return bool(row[-1] <= limit)
+        rise, fall = rise << 1 | 1, fall << 1
+        up, down = (fall | ~(level | rise)) & full, rise & level & full
+    return score <= limit
 
 
 def near_same(train: str, held: str) -> bool:
@@ -200,33 +204,83 @@ def near_same(train: str, held: str) -> bool:
     return edit_distance_within(train, held, int(max(len(train), len(held)) * TOLERANCE))
 
 
+def gram_sets(texts: Sequence[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words of the bit sets of each text's grams, how many bits are set)."""
+    m = len(texts)
+    length = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(m), length)
+    left = np.cumsum(length)[owner] - np.arange(len(owner))
+    padded = np.concatenate((points, np.zeros(GRAM, np.uint64)))
+    code = np.zeros(len(owner), np.uint64)
+    for i in range(GRAM):
+        code = code * _MULTIPLIER + padded[i : i + len(owner)]
+    whole = left >= GRAM
+    cell = (_mixed(code[whole]) % np.uint64(bits)).astype(np.int64)
+    words = np.zeros((m, bits // 64), np.uint64)
+    np.bitwise_or.at(words, (owner[whole], cell >> 6), np.uint64(1) << (cell & 63).astype(np.uint64))
+    return words, np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+
+
+def near_candidates(train: Sequence[str], held: Sequence[str]) -> Iterator[tuple[int, int]]:
+    """(number in ``train``, number in ``held``) of all pairs whose lengths and grams allow them to be near-same.
+
+    ``held`` is in order of length.  No near-same pair is left out.
+    """
+    held_length = np.array([len(t) for t in held], np.int64)
+    words, n_held = gram_sets(held, BITS)
+    words = np.ascontiguousarray(words.T)
+    own, n_own = gram_sets(train, BITS)
+    found = []
+    for i, text in enumerate(train):
+        size = len(text)
+        low, high = np.searchsorted(held_length, size - size // 8), np.searchsorted(held_length, size * 8 // 7 + 1, "right")
+        if low < high:
+            common = np.bitwise_count(words[:, low:high] & own[i][:, None]).sum(axis=0, dtype=np.uint16)
+            limit = (np.maximum(held_length[low:high], size) * TOLERANCE).astype(np.int64)
+            at = np.flatnonzero(common >= np.maximum(n_held[low:high], n_own[i]) - GRAM * limit) + low
+            found.append(np.stack((np.full(len(at), i), at)))
+    if not found or not sum(f.shape[1] for f in found):
+        return
+    a, b = np.concatenate(found, axis=1)
+    own, n_own = gram_sets(train, MORE_BITS)
+    words, n_held = gram_sets(held, MORE_BITS)
+    train_length = np.array([len(t) for t in train], np.int64)
+    for at in range(0, len(a), 4096):
+        x, y = a[at : at + 4096], b[at : at + 4096]
+        common = np.bitwise_count(words[y] & own[x]).sum(axis=1, dtype=np.int64)
+        limit = (np.maximum(held_length[y], train_length[x]) * TOLERANCE).astype(np.int64)
+        keep = common >= np.maximum(n_held[y], n_own[x]) - GRAM * limit
+        yield from zip(x[keep].tolist(), y[keep].tolist())
+
+
 def search_shard(held: Sequence[str], routed: Sequence[tuple[str, Sequence[int]]]) -> Iterator[tuple[int, int, int, float]]:
     """(query, held text, spans, covered share) of each routed pair that is near-same.
 
     ``routed``: training texts, each with the numbers of the held texts it was routed to.
     """
-    index = TextIndex(held)
-    width = LEAST_MATCH
-    found = index.matches([t for t, _ in routed], width)
-    for q, ((text, wanted), parts) in enumerate(zip(routed, found, strict=True)):
-        want = set(wanted)
+    near = [(q, text, {w for w in wanted if near_same(text, held[w])}) for q, (text, wanted) in enumerate(routed)]
+    near = [x for x in near if x[2]]
+    if not near:
+        return
+    used = sorted(set().union(*(want for _, _, want in near)))
+    index, width = TextIndex([held[w] for w in used]), LEAST_MATCH
+    for (q, text, want), parts in zip(near, index.matches([t for _, t, _ in near], width), strict=True):
         spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for low_at, high_at, low, high in parts:
             if high - low <= 4 * len(want) + 16:
-                texts = set(index.text_of(np.arange(low, high)).tolist()) & want
+                texts = {used[i] for i in index.text_of(np.arange(low, high)).tolist()} & want
             else:
                 piece = text[low_at:high_at]
                 texts = {w for w in want if piece in held[w]}
             for w in texts:
                 spans[w].append((low_at, high_at))
         for w in want:
-            # A longer match with one text hides the shorter one with another, which is looked up for routed pairs.
+            # A longer match with one text hides the shorter one with another, which is looked up.
             have = spans.get(w, [])
             if sum(b - a for a, b in have) < len(text) // 2:
                 have = have + [(a, b) for a, b in _shared(text, held[w], width) if all(b <= c or a >= d for c, d in have)]
-            covered = sum(b - a for a, b in have)
-            if covered * 2 >= min(len(text), len(held[w])) * 0.5 and near_same(text, held[w]):
-                yield q, w, len(have), covered / max(1, len(text))
+            yield q, w, len(have), sum(b - a for a, b in have) / max(1, len(text))
 
 
 def _shared(a: str, b: str, width: int) -> list[tuple[int, int]]:
@@ -249,30 +303,60 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(plain, pa.string())], ["raw", "plain"]).filter(keep)
 
 
-def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for low in range(0, whole.num_rows, 1024):
-            batch = whole.slice(low, 1024)
-            keys = band_keys(batch.column(1).to_pylist()).ravel()
-            at = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-            columns = [batch.column(i).take(at) for i in (0, 2, 3)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(keys, pa.int64())], ["text_id", "in_train", "in_held", "band"])
-
-
-def _search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        held_ids, held_at = np.unique(frame["held_id"].to_numpy(), return_inverse=True)
-        first = np.unique(held_at, return_index=True)[1]
-        held = frame["held_text"].to_numpy()[first].tolist()
-        routed, names = [], []
-        order = np.argsort(frame["train_id"].to_numpy(), kind="stable")
-        ids, texts, at = frame["train_id"].to_numpy()[order], frame["train_text"].to_numpy()[order], held_at[order]
-        for part in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(ids)) + 1):
-            if len(part):
-                routed.append((texts[part[0]], at[part].tolist()))
-                names.append(ids[part[0]])
-        rows = [(names[q], held_ids[w], n, share) for q, w, n, share in search_shard(held, routed)] if routed else []
-        yield pd.DataFrame(rows, columns=["train_id", "held_id", "spans", "covered"])
+def _script(code: int) -> int:
+    """A number for the script of a character; Han and kana are one, so are the Latin letters."""
+    if code < 0x250 or 0x1E00 <= code < 0x1F00:
+        return 0
+    return 0x30 if 0x3040 <= code <= 0x30FF or 0x3400 <= code <= 0x9FFF else 0xAC if 0xAC00 <= code <= 0xD7A3 else code >> 8
+
+
+def block_scripts(text: str) -> list[int]:
+    """The scripts in whose blocks a text stands; two near-same texts have one in common.
+
+    A script with three quarters of one text has at least half of the other (3/4 * 7/8 - 1/8); texts without such a script meet in -1.
+    """
+    count: dict[int, int] = defaultdict(int)
+    for c, n in Counter(text).items():
+        count[_script(ord(c))] += n
+    scripts = [k for k, n in count.items() if 2 * n >= len(text)]
+    return scripts if any(4 * n >= 3 * len(text) for n in count.values()) else [*scripts, -1]
+
+
+def length_class(length: int) -> int:
+    """Classes so wide that near-same texts are in the same or in neighbouring ones."""
+    return int(math.log(length) / (math.log(8 / 7) * 1.0001))
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block class: held texts in their own length class, training texts also in its neighbours."""
+    for batch in batches:
+        at, is_held, script, band = [], [], [], []
+        for i, (text, train, held) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))):
+            own, scripts = length_class(len(text)), block_scripts(text)
+            for side, classes in ((True, (own,) if held else ()), (False, (own - 1, own, own + 1) if train else ())):
+                for s in scripts:
+                    for c in classes:
+                        at.append(i)
+                        is_held.append(side)
+                        script.append(s)
+                        band.append(c)
+        rows = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(is_held, pa.bool_()), pa.array(script, pa.int32()), pa.array(band, pa.int32())], ["text_id", "plain", "is_held", "script", "band"])
+
+
+def _search(block: pd.DataFrame) -> pd.DataFrame:
+    train, held, rows = block[~block["is_held"]], block[block["is_held"]], []
+    if len(train) and len(held):
+        held = held.iloc[np.argsort(held["plain"].str.len().to_numpy(), kind="stable")]
+        texts, held_texts = train["plain"].tolist(), held["plain"].tolist()
+        ids, held_ids = train["text_id"].tolist(), held["text_id"].tolist()
+        wanted: dict[int, list[int]] = defaultdict(list)
+        for i, j in near_candidates(texts, held_texts):
+            if ids[i] != held_ids[j]:
+                wanted[i].append(j)
+        names = list(wanted)
+        rows = [(ids[names[q]], held_ids[w], n, share) for q, w, n, share in search_shard(held_texts, [(texts[i], wanted[i]) for i in names])]
+    return pd.DataFrame(rows, columns=["train_id", "held_id", "spans", "covered"])
 
 
 def normal_texts(df: DataFrame, text: str | Column, held: Column, keep: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
@@ -292,20 +376,17 @@ def normal_texts(df: DataFrame, text: str | Column, held: Column, keep: Sequence
 
 def near_pairs(forms: DataFrame) -> DataFrame:
     """(``train_id``, ``held_id``, ``spans``, ``covered``) of different forms that are near-same across the sides."""
-    routed = forms.select("text_id", "plain", "in_train", "in_held").mapInArrow(_route, "text_id long, in_train int, in_held int, band long")
-    routed = cut(routed)  # read for either side
-    train = routed.where("in_train = 1").select(F.col("text_id").alias("train_id"), "band")
-    held = routed.where("in_held = 1").select(F.col("text_id").alias("held_id"), "band")
-    pairs = train.join(held, "band").where("train_id <> held_id").select("train_id", "held_id").distinct()
-    texts = forms.select("text_id", "plain")
-    pairs = pairs.join(texts.withColumnRenamed("text_id", "train_id").withColumnRenamed("plain", "train_text"), "train_id")
-    pairs = pairs.join(texts.withColumnRenamed("text_id", "held_id").withColumnRenamed("plain", "held_text"), "held_id")
-    # Lengths that differ by more than the tolerance need no search.
-    longer, shorter = F.greatest(F.length("train_text"), F.length("held_text")), F.least(F.length("train_text"), F.length("held_text"))
-    pairs = pairs.where(longer - shorter <= longer * TOLERANCE)
-    # A shard is a range of held texts: sorting keeps the routed pairs of a text in one batch.
-    shards = pairs.repartitionByRange("held_id").sortWithinPartitions("held_id")
-    return shards.select("train_id", "train_text", "held_id", "held_text").mapInPandas(_search, "train_id long, held_id long, spans long, covered double")
+    placed = cut(forms.select("text_id", "plain", "in_train", "in_held").mapInArrow(_place, "text_id long, plain string, is_held boolean, script int, band int"))  # read twice
+    parts = lambda held: F.ceil(F.count(F.when(F.col("is_held") == held, 1)) / BLOCK).cast("int")
+    blocks = placed.groupBy("script", "band").agg(parts(True).alias("n_held"), parts(False).alias("n_train")).where("n_held > 0 and n_train > 0")
+    # Each part of one side meets each part of the other in a block of its own.
+    sides = placed.join(F.broadcast(blocks), ["script", "band"]).withColumns({
+        "own": F.expr("cast(pmod(xxhash64(text_id), if(is_held, n_held, n_train)) as int)"),
+        "other": F.explode(F.expr("sequence(0, if(is_held, n_train, n_held) - 1)")),
+    })
+    sides = sides.select("text_id", "plain", "is_held", "script", "band", F.expr("if(is_held, own, other)").alias("held_part"), F.expr("if(is_held, other, own)").alias("train_part"))
+    found = sides.groupBy("script", "band", "held_part", "train_part").applyInPandas(_search, "train_id long, held_id long, spans long, covered double")
+    return found.dropDuplicates(["train_id", "held_id"])  # texts of mixed scripts may meet twice
 
 
 def linked_forms(forms: DataFrame) -> DataFrame:

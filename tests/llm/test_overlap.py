@@ -89,6 +89,28 @@ def test_recall_of_routing(changes):
     assert hit >= 0.95
 
 
+def scattered(rng, text, letters, limit):
+    """The text with ``limit`` single characters changed, put in or left out, all over it, so that it stays near-same."""
+    out = list(text)
+    for n, at in enumerate(sorted(rng.sample(range(len(text)), limit), reverse=True)):
+        out[at : at + 1] = ([rng.choice(letters)], [out[at], rng.choice(letters)], [])[n % 3]
+    return "".join(out)
+
+
+def test_no_near_same_pair_is_lost_up_to_an_eighth(spark):
+    rng, rows = random.Random(8), []
+    for n in range(240):
+        letters = ("abcdefghijklmnopqrstuvwxyz", "なにぬねのはひふへほ記録監査期間地域", "абвгдежзиклмн", "abcdefgなにぬねのはひ")[n % 4]
+        size = rng.choice((8, 16, 40, 76, 240, 400))
+        text = "".join(rng.choice(letters) for _ in range(size))
+        near = scattered(rng, text, letters, (size - size // 24) // (8, 16, 12)[n % 3]) if n % 5 else "".join(rng.choice(letters) if i % 8 == 4 else c for i, c in enumerate(text))
+        rows += [(2 * n, 1, 0, text), (2 * n + 1, 0, 1, near)]
+    train, held = [r for r in rows if r[1]], [r for r in rows if r[2]]
+    want = {(a[0], b[0]) for a in train for b in held if O.near_same(a[3], b[3])}
+    forms = spark.createDataFrame([(i, plain, t, h) for i, t, h, plain in rows], "text_id long, plain string, in_train int, in_held int")
+    assert {tuple(r) for r in O.near_pairs(forms).select("train_id", "held_id").collect()} == want and len(want) >= 200
+
+
 def test_forms_and_dirt(spark):
     text = "Hello, WORLD! The courier sealed a crate of solvents in a rented garage; according to file 9755, Eltes translated an old password list."
     rows = [(1, "train", text), (2, "test", text.lower().replace(",", "")), (3, "test", None), (4, "train", "!!!"), (5, "test", "???"), (6, "valid", text.replace("9755", "6124") + " (2)"), (7, None, text), (8, "test", text[:60]), (1, "train", text)]

@@ -173,14 +173,14 @@ def plan_quotas(targets: Sequence, cells: Sequence[tuple[tuple, int]], rng: rand
     first_cell = first_target + len(targets)
     net = FlowNetwork(first_cell + len(cells))
     to_cell: dict[tuple[int, int], tuple[int, int]] = {}
-    slack = []
+    slack, spare = [], [[] for _ in targets]
     for i, t in enumerate(targets):
         net.arc(source, first_target + i, margin[i], 0)
         slack.append((net.arc(first_target + i, pot, floor[i], FLOOR_COST), net.arc(first_target + i, pot, margin[i] - floor[i], SHARE_COST)))
         for step in range(SPARE_STEPS if margin[i] else 0):  # rising costs spread the spare units by margin
-            net.arc(pot, first_target + i, max(1, margin[i] // SPARE_STEPS), 1 + step)
+            spare[i].append(net.arc(pot, first_target + i, max(1, margin[i] // SPARE_STEPS), 1 + step))
         if margin[i]:
-            net.arc(pot, first_target + i, size, 1 + SPARE_STEPS)
+            spare[i].append(net.arc(pot, first_target + i, size, 1 + SPARE_STEPS))
     net.arc(pot, sink, sum(margin), UNFILLED_COST)
     for j, (key, count) in enumerate(cells):
         net.arc(first_cell + j, sink, count, 0)
@@ -189,7 +189,8 @@ def plan_quotas(targets: Sequence, cells: Sequence[tuple[tuple, int]], rng: rand
                 to_cell[i, j] = net.arc(first_target + i, first_cell + j, count, 0)
     net.run(source, sink)
     taken = {i: sum(net.flow(h) for (a, _), h in to_cell.items() if a == i) for i in range(len(targets))}
-    missing = {t["target_id"]: max(0, margin[i] - taken[i]) for i, t in enumerate(targets)}
+    # What ran over the slack arcs and did not come back from the pot.
+    missing = {t["target_id"]: max(0, sum(map(net.flow, slack[i])) - sum(map(net.flow, spare[i]))) for i, t in enumerate(targets)}
     # The flow says how much a target takes; which cells give it is drawn at random in proportion to what they hold.
     left = {j: count for j, (_, count) in enumerate(cells)}
     reach = {i: [j for (a, j) in to_cell if a == i] for i in range(len(targets))}
@@ -255,13 +256,15 @@ def draw_sample(pools: DataFrame, targets: DataFrame, seed: int = 3407, buckets:
     """The sample (``plan``, ``language``, ``view``, ``subset``, ``example_id``) and the report, one row per target.
 
     Report: ``target_id``, ``plan``, ``available``, ``wanted`` (the larger of floor and share), ``drawn``, ``missing``,
-    ``met``.  Within a cell the examples of least hash are taken.  Counts by (cell, hash bucket) find the bucket in which
+    ``met``, ``contested``.  ``missing`` and ``met`` say what the pool lacks for the target by itself, an exact count;
+    ``contested`` is what its slack arcs of the flow carry beyond that, as the examples went to other targets of the plan.
+    Within a cell the examples of least hash are taken.  Counts by (cell, hash bucket) find the bucket in which
     a quota ends; rows of lower buckets are taken at once and only that bucket is ordered, so that no cell, however
     large, is sorted in one task.
     """
     spark = pools.sparkSession
     rows = read_targets(targets)
-    report_schema = "target_id long, plan string, available long, wanted double, drawn long, missing long, met boolean"
+    report_schema = "target_id long, plan string, available long, wanted double, drawn long, missing long, met boolean, contested long"
     sample_schema = "plan string, language string, view string, subset string, example_id string"
     if not rows:
         return spark.createDataFrame([], sample_schema), spark.createDataFrame([], report_schema)
@@ -276,12 +279,13 @@ def draw_sample(pools: DataFrame, targets: DataFrame, seed: int = 3407, buckets:
     for plan in sorted({t["plan"] for t in rows}):
         own = [t for t in rows if t["plan"] == plan]
         held = sorted((((r["language"], r["view"], r["subset"]), r["n"]) for r in by_cell if r["plan"] == plan), key=repr)
-        drawn, quota, _ = plan_quotas(own, held, random.Random(f"{seed}:{plan}"))
+        drawn, quota, unplaced = plan_quotas(own, held, random.Random(f"{seed}:{plan}"))
         quotas += [(plan, *key, n) for key, n in quota.items() if n > 0]
         for t in own:
             wanted = max(float(t["min_rows"] or 0), (t["share"] or 0.0) * (t["sample_size"] or 0))
             n, k = have.get(t["target_id"], 0), drawn.get(t["target_id"], 0)
-            report.append((t["target_id"], plan, n, wanted, k, max(0, -int(-wanted // 1) - n), n >= wanted))
+            missing = max(0, -int(-wanted // 1) - n)
+            report.append((t["target_id"], plan, n, wanted, k, missing, n >= wanted, max(0, unplaced.get(t["target_id"], 0) - missing)))
     want = F.broadcast(spark.createDataFrame(quotas, "plan string, language string, view string, subset string, quota long"))
     same = [F.col(f"w.{c}").eqNullSafe(F.col(f"s.{c}")) for c in cells]
     upto = counts.alias("s").join(want.alias("w"), same).select(*[F.col(f"s.{c}").alias(c) for c in cells], "bucket", "n", "quota")

@@ -76,6 +76,17 @@ def test_floors_and_exact_shares(spark):
     assert drawn == {"en": 80, "fr": 10, "de": 10}
 
 
+def test_targets_that_compete_for_a_cell_are_reported(spark):
+    pools = pool_of(spark, {("ar", "P"): 60})
+    targets = spark.createDataFrame([(1, "a", "predictions", "ar", None, None, 0.5, 1, 100), (2, "a", "predictions", None, "P", None, 0.5, 1, 100)], TARGETS)
+    sample, report = Q.draw_sample(pools, targets)
+    by = {r.target_id: r for r in report.collect()}
+    assert sample.count() == by[1].drawn + by[2].drawn == 60
+    assert all(r.met and r.missing == 0 and r.contested == 50 - r.drawn for r in by.values()) and by[1].contested + by[2].contested == 40
+    alone = Q.draw_sample(pools, targets.where("target_id = 1"))[1].first()
+    assert alone.contested == 0 and alone.drawn == 50
+
+
 def test_empty(spark):
     pools = pool_of(spark, {("en", "P"): 1}).limit(0)
     targets = spark.createDataFrame([(1, "a", "predictions", "en", None, None, 1.0, 5, 10)], TARGETS)

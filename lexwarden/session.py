@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,14 +41,35 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset, as in local tests,
-    a temporary folder is used.  The files survive the loss of an executor.
+    Only a local session without that setting gets a temporary folder; a cluster without one raises, as a folder of one
+    machine would be lost with it.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if shared is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="lexwarden-checkpoint-")
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lexwarden-checkpoint-"))
+        context.setCheckpointDir(shared)
+    return shared
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.  The files survive the loss of an executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, by: str | None = None) -> tuple[DataFrame, str]:
+    """Writes ``df`` as a Parquet table into the shared folder; returns the table read back, and its place.
+
+    Unlike a checkpoint, it is compressed and later reads take only the columns they need.
+    """
+    place = f"{shared_folder(df.sparkSession).rstrip('/')}/lexwarden-{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place), place

@@ -1,13 +1,16 @@
 """Same and near-same records across splits (problem 4).
 
-Prompts are reduced to normal forms; equal forms are one text, so that copies cost nothing more.  Every pair of a training
-and an evaluation text that can differ in one of eight characters at most is looked at: blocks of texts of like length
-and script are held against each other by bit sets of their 3-character grams.  ``k`` edits spoil at most ``3 k`` of a
-text's grams, also of those that share a bit, so the count loses no pair; what it leaves goes to an exact check by
-bit-parallel edit distance.  For the pairs found, a compressed full-text index (the Burrows-Wheeler transform with sampled
-ranks) of the evaluation texts gives the maximal matches by backward search, which are merged into spans.
-
-The blocks are the product of both sides within a length class and script.
+Prompts are reduced to normal forms; equal forms are one text, so that copies cost nothing more.  The evaluation forms are
+put into shards by script and length, and each shard gets a full-text index once: a compressed suffix array, searched
+backwards.  Training forms are streamed through the shards whose texts can be near-same by length and script.
+
+A training text that differs in ``k`` characters at most is cut into ``k + 1`` pieces, of which one must stand unchanged in
+the other text (pigeonhole), so backward search of the pieces loses no pair.  The search tells how often each piece occurs
+before any place is looked up.  Where the pieces of a text occur more often than the shard has texts of fit length, as in
+texts put together from the same phrases, the texts of fit length are held against it one by one, by bit sets of their
+3-character grams: ``k`` edits spoil at most ``3 k`` grams, so this loses no pair either.  Candidates of both ways pass
+through the gram count and an exact edit distance.  Backward search of the whole text then gives the maximal matches with
+each partner, merged into spans.
 
 Defined results: null prompts and prompts without letters or digits match nothing; repeated rows give one pair each;
 an empty side gives no pairs.
@@ -18,142 +21,183 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexwarden.llm.wording import marked
-from lexwarden.session import cut
+from lexwarden.session import spread, stored
 
-#: Sketch: shingle length in characters, bands, and minima per band.
-SHINGLE, DENSE_SHINGLE, BANDS, WIDTH = 8, 4, 20, 5
+#: A pair is near-same if at most one of so many characters of the longer text differs.
+ONE_OF = 8
 #: Shorter matches are not reported as spans.
 LEAST_MATCH = 10
-#: Grams of the exact filter: length in characters, bits of the sets that are held against each other first and then.
-GRAM, BITS, MORE_BITS = 3, 1024, 8192
-#: Texts of either side in a block at most, about.
-BLOCK = 4096
-#: A pair is near-same if at most this share of the longer text's characters differs.
-TOLERANCE = 1 / 8
+#: Grams of the exact filter: length in characters, and bits of the second look; the first has four a character.
+GRAM, LEAST_BITS, MORE_BITS = 3, 1024, 8192
+#: Characters of evaluation texts in a shard, of training texts in a task and in a search, about.
+SHARD_CHARS, TASK_CHARS, BUFFER_CHARS = 1 << 22, 1 << 20, 1 << 22
+#: Length bands: so many to a factor of e.  A shard spans at most ``SHARD_BANDS``, unless it is one band.
+BANDS, SHARD_BANDS = 32, 24
+#: Looking up a place costs about as much as this many comparisons of gram sets.
+PLACE_COST = 4
+#: One of so many suffixes has its place kept.
+SAMPLE = 4
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
+_ONE = np.uint64(1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * _MIX
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def band_keys(texts: Sequence[str]) -> np.ndarray:
-    """The ``BANDS`` routing keys of each text, one row per text.
-
-    One hash per shingle; it falls into one of ``BANDS * WIDTH`` bins by its high bits, each bin keeps its minimum, and
-    an empty bin borrows that of a bin chosen by rehashing its number, alike for all texts.
-
-    Texts with many changes spread over them share no key, so :func:`near_pairs` does not rest on it.
-    """
-    m, bins = len(texts), BANDS * WIDTH
-    if m == 0:
-        return np.zeros((0, BANDS), np.int64)
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    length = np.array([len(t) for t in texts])
-    dense = ((points >= 0x3040) & (points <= 0x30FF)) | ((points >= 0x3400) & (points <= 0x9FFF))
-    owner = np.repeat(np.arange(m), length)
-    size = np.where(2 * np.bincount(owner, dense, m) > length, DENSE_SHINGLE, SHINGLE)
-    points = np.concatenate((points.astype(np.uint64) + np.uint64(1), np.zeros(SHINGLE, np.uint64)))
-    ends = np.cumsum(length)
-    code = np.zeros(len(owner), np.uint64)
-    left = ends[owner] - np.arange(len(owner))  # characters from here to the end of the text
-    width = size[owner]
-    for i in range(max(SHINGLE, DENSE_SHINGLE)):
-        use = (i < width) & (i < left)
-        code = np.where(use, code * _MULTIPLIER + points[i : i + len(owner)], code)
-    whole = (left >= width) | (left == length[owner])  # a short text is one shingle
-    code, owner = _mixed(code[whole]), owner[whole]
-    cell = owner * bins + ((code >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(cell, kind="stable")
-    first = np.flatnonzero(np.concatenate(([True], np.diff(cell[order]) != 0)))
-    none = np.iinfo(np.uint64).max
-    least = np.full(m * bins, none, np.uint64)
-    least[cell[order][first]] = np.minimum.reduceat(code[order], first)
-    least = least.reshape(m, bins)
-    hole = least == none
-    for tries in range(1, 65):
-        if not hole.any():
-            break
-        lend = (_mixed(np.arange(bins, dtype=np.uint64) * np.uint64(131) + np.uint64(tries)) % np.uint64(bins)).astype(np.int64)
-        fill = hole & ~hole[:, lend]
-        least = np.where(fill, least[:, lend], least)
-        hole = hole & ~fill
-    keys = np.zeros((m, BANDS), np.uint64)
-    for k in range(WIDTH):
-        keys = _mixed(keys * _MULTIPLIER + least[:, k::WIDTH])
-    return _mixed(keys + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+def _points(texts: Sequence[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
 
 
 class TextIndex:
-    """FM-index of a set of texts: suffix array by prefix doubling, BWT, rank counts per symbol, text starts."""
+    """Compressed suffix array of a set of texts.
+
+    Of the suffix array only ``psi`` is kept, the row of the next suffix: it rises within the rows of one symbol, so that
+    its differences are small numbers, and a step of backward search is a binary search among them.  Every ``SAMPLE``-th
+    suffix keeps its place; the place of another is found by following ``psi`` to such a one.
+    """
 
     def __init__(self, texts: Sequence[str]) -> None:
-        points = np.frombuffer("\x00".join([*texts, ""]).encode("utf-32-le"), np.uint32)
+        points = _points(["\x00".join([*texts, ""])])
         self.alphabet, symbols = np.unique(points, return_inverse=True)
-        n = len(symbols)
-        self.starts = np.concatenate(([0], np.flatnonzero(points == 0)[:-1] + 1)).astype(np.int64)
-        rank, width = symbols.astype(np.int64), 1
-        while True:
-            ahead = np.concatenate((rank[width:], np.full(min(width, n), -1)))[:n]
-            key = rank * (n + 2) + ahead + 1
-            order = np.argsort(key, kind="stable")
-            fresh = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
-            rank = np.empty(n, np.int64)
-            rank[order] = fresh
-            if fresh[-1] == n - 1:
-                break
-            width *= 2
-        self.suffix = order
-        self.last = symbols[order - 1]
+        n = self.size = len(symbols)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=len(self.alphabet)))))
-        # Rank by binary search among the places of a symbol: the compressed form of the rank table.
-        by_symbol = np.argsort(self.last, kind="stable")
-        self.places = by_symbol + self.last[by_symbol] * np.int64(n)
-        self.size = n
+        rank = self._ranks(symbols.astype(np.int64))
+        order = np.empty(n, np.int64)
+        order[rank] = np.arange(n)
+        self._keep(rank[(order + 1) % n], order % SAMPLE == 0, order[order % SAMPLE == 0].astype(np.int32), np.flatnonzero(points == 0))
+
+    def _ranks(self, symbols: np.ndarray) -> np.ndarray:
+        """The row of each suffix, by prefix doubling; only suffixes that still share a row are sorted again.
+
+        Suffixes that are alike so far share the row at which their group begins.
+        """
+        n, base, width = self.size, len(self.alphabet) + 1, 1
+        padded, key = np.concatenate((symbols + 1, np.zeros(4, np.int64))), symbols + 1
+        while width < 4 and base ** (width + 1) < 1 << 62:
+            key, width = key * base + padded[width : width + n], width + 1
+        rank, open_ones = np.zeros(n, np.int64), np.arange(n)
+        while len(open_ones):
+            order = np.argsort(key)
+            at, key, index = open_ones[order], key[order], np.arange(len(order))
+            group = rank[at]
+            first = np.maximum.accumulate(np.where(np.diff(group, prepend=-1) != 0, index, 0))
+            fresh = np.diff(key, prepend=-1) != 0
+            rank[at] = group + np.maximum.accumulate(np.where(fresh, index, 0)) - first
+            open_ones = at[~(fresh & np.append(fresh[1:], True))]
+            ahead = open_ones + width
+            key = rank[open_ones] * (n + 1) + np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+            width *= 2
+        return rank
+
+    def _keep(self, psi: np.ndarray, kept: np.ndarray, places: np.ndarray, ends: np.ndarray) -> None:
+        symbol = np.repeat(np.arange(len(self.alphabet), dtype=np.int64), np.diff(self.first))
+        self.psi = psi + symbol * self.size  # one rising sequence over all symbols
+        self.kept, self.places = np.packbits(np.concatenate((kept, np.zeros(-len(kept) % 64, bool))), bitorder="little").view(np.uint64), places
+        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.kept), dtype=np.int64)))
+        self.starts = np.concatenate(([0], ends[:-1] + 1)).astype(np.int64)
+
+    def parts(self) -> dict[str, bytes]:
+        """What :meth:`from_parts` needs; the differences of ``psi`` and of the text starts, as they compress well."""
+        psi = self.psi % self.size
+        return {
+            "alphabet": self.alphabet.tobytes(), "first": self.first.tobytes(), "psi": np.diff(psi, prepend=0).astype(np.int32).tobytes(),
+            "kept": self.kept.tobytes(), "places": self.places.tobytes(), "lengths": np.diff(self.starts, append=self.size).astype(np.int32).tobytes(),
+        }
+
+    @classmethod
+    def from_parts(cls, parts: dict[str, bytes]) -> TextIndex:
+        """The index of :meth:`parts`."""
+        out = cls.__new__(cls)
+        out.alphabet, out.first = np.frombuffer(parts["alphabet"], np.uint32), np.frombuffer(parts["first"], np.int64)
+        psi = np.cumsum(np.frombuffer(parts["psi"], np.int32), dtype=np.int64)
+        out.size = len(psi)
+        kept = np.unpackbits(np.frombuffer(parts["kept"], np.uint8), bitorder="little")[: out.size].astype(bool)
+        ends = np.cumsum(np.frombuffer(parts["lengths"], np.int32), dtype=np.int64) - 1
+        out._keep(psi, kept, np.frombuffer(parts["places"], np.int32), ends)
+        return out
 
-    def _rank(self, symbol: np.ndarray, upto: np.ndarray) -> np.ndarray:
-        """How often each symbol stands before each place of the transform."""
-        return np.searchsorted(self.places, symbol * np.int64(self.size) + upto) - self.first[symbol]
+    def codes(self, points: np.ndarray) -> np.ndarray:
+        """The symbol number of each character, -1 for one the texts do not have."""
+        found = np.searchsorted(self.alphabet, points)
+        found[found == len(self.alphabet)] = 0
+        return np.where((self.alphabet[found] == points) & (points > 0), found, -1)
+
+    def _step(self, symbol: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """The first row of those that start with ``symbol`` and go on from row ``bound`` or later."""
+        key = symbol * self.size + bound
+        order = np.argsort(key)  # neighbouring searches read the same memory
+        out = np.empty(len(key), np.int64)
+        out[order] = np.searchsorted(self.psi, key[order])
+        return out
+
+    def intervals(self, codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows ``low:high`` that start with each piece ``codes[start:end]``, by backward search of all in step."""
+        low, high = np.zeros(len(start), np.int64), np.full(len(start), self.size, np.int64)
+        live, at = np.flatnonzero(end > start), end - 1
+        while len(live):
+            symbol = codes[at[live]]
+            a, b = self._step(symbol, low[live]), self._step(symbol, high[live])
+            b = np.where(symbol < 0, a, b)
+            low[live], high[live] = a, b
+            at[live] -= 1
+            live = live[(a < b) & (at[live] >= start[live])]
+        return low, high
+
+    def locate(self, rows: np.ndarray) -> np.ndarray:
+        """The place of each row's suffix in the joined texts."""
+        row, out, live, step = rows.copy(), np.empty(len(rows), np.int64), np.arange(len(rows)), 0
+        while len(live):
+            at = row[live]
+            word, bit = at >> 6, (at & 63).astype(np.uint64)
+            here = (self.kept[word] >> bit & _ONE).astype(bool)
+            done = live[here]
+            nth = self.before[word[here]] + np.bitwise_count(self.kept[word[here]] & ((_ONE << bit[here]) - _ONE))
+            out[done] = self.places[nth] - step
+            live = live[~here]
+            row[live] = self.psi[row[live]] % self.size
+            step += 1
+        return out % self.size
+
+    def text_of(self, rows: np.ndarray) -> np.ndarray:
+        """The text in which each row's suffix starts."""
+        return np.searchsorted(self.starts, self.locate(rows), side="right") - 1
 
     def matches(self, queries: Sequence[str], least: int) -> list[list[tuple[int, int, int, int]]]:
         """Maximal matches of each query, found by backward search of all queries in step.
 
-        Each is (query from, query to, low, high): the rows ``low:high`` of the suffix array start with the match.  A
-        query's matches are the greedy factors from its end.
+        Each is (query from, query to, low, high): the rows ``low:high`` start with the match.  A query's matches are the
+        greedy factors from its end.
         """
         m = len(queries)
-        size = np.array([len(q) for q in queries])
-        flat = np.frombuffer("".join(queries).encode("utf-32-le"), np.uint32)
-        found = np.searchsorted(self.alphabet, flat)
-        found[found == len(self.alphabet)] = 0
-        codes = np.where(self.alphabet[found] == flat, found, -1)
+        size = np.array([len(q) for q in queries], np.int64)
+        codes = self.codes(_points(queries))
         base = np.concatenate(([0], np.cumsum(size)))[:-1]
-        at = size - 1  # the character to take next
-        end = size.copy()
+        at, end = size - 1, size.copy()  # the character to take next, and where the match ends
         low, high = np.zeros(m, np.int64), np.full(m, self.size, np.int64)
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in range(m)]
         live = np.flatnonzero(at >= 0)
         while len(live):
             symbol = codes[base[live] + at[live]]
-            known = symbol >= 0
-            safe = np.where(known, symbol, 0)
-            new_low = self.first[safe] + self._rank(safe, low[live])
-            new_high = self.first[safe] + self._rank(safe, high[live])
-            grows = known & (new_low < new_high)
+            a, b = self._step(symbol, low[live]), self._step(symbol, high[live])
+            grows = (symbol >= 0) & (a < b)
             go = live[grows]
-            low[go], high[go] = new_low[grows], new_high[grows]
+            low[go], high[go] = a[grows], b[grows]
             at[go] -= 1
             stop = live[~grows]
             for q in stop[end[stop] - at[stop] - 1 >= least].tolist():
@@ -168,10 +212,6 @@ class TextIndex:
             live = live[at[live] >= 0]
         return out
 
-    def text_of(self, rows: np.ndarray) -> np.ndarray:
-        """The text in which each suffix-array row starts."""
-        return np.searchsorted(self.starts, self.suffix[rows], side="right") - 1
-
 
 def edit_distance_within(a: str, b: str, limit: int) -> bool:
     """Whether at most ``limit`` characters are put in, left out or changed; a column of the table is two bit vectors."""
@@ -201,14 +241,14 @@ def edit_distance_within(a: str, b: str, limit: int) -> bool:
 
 def near_same(train: str, held: str) -> bool:
     """Whether at most one of eight characters of the longer text differs."""
-    return edit_distance_within(train, held, int(max(len(train), len(held)) * TOLERANCE))
+    return edit_distance_within(train, held, max(len(train), len(held)) // ONE_OF)
 
 
 def gram_sets(texts: Sequence[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(words of the bit sets of each text's grams, how many bits are set)."""
     m = len(texts)
     length = np.array([len(t) for t in texts], np.int64)
-    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    points = _points(texts).astype(np.uint64)
     owner = np.repeat(np.arange(m), length)
     left = np.cumsum(length)[owner] - np.arange(len(owner))
     padded = np.concatenate((points, np.zeros(GRAM, np.uint64)))
@@ -218,69 +258,119 @@ def gram_sets(texts: Sequence[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     whole = left >= GRAM
     cell = (_mixed(code[whole]) % np.uint64(bits)).astype(np.int64)
     words = np.zeros((m, bits // 64), np.uint64)
-    np.bitwise_or.at(words, (owner[whole], cell >> 6), np.uint64(1) << (cell & 63).astype(np.uint64))
+    np.bitwise_or.at(words, (owner[whole], cell >> 6), _ONE << (cell & 63).astype(np.uint64))
     return words, np.bitwise_count(words).sum(axis=1, dtype=np.int64)
 
 
-def near_candidates(train: Sequence[str], held: Sequence[str]) -> Iterator[tuple[int, int]]:
-    """(number in ``train``, number in ``held``) of all pairs whose lengths and grams allow them to be near-same.
-
-    ``held`` is in order of length.  No near-same pair is left out.
-    """
-    held_length = np.array([len(t) for t in held], np.int64)
-    words, n_held = gram_sets(held, BITS)
-    words = np.ascontiguousarray(words.T)
-    own, n_own = gram_sets(train, BITS)
-    found = []
-    for i, text in enumerate(train):
-        size = len(text)
-        low, high = np.searchsorted(held_length, size - size // 8), np.searchsorted(held_length, size * 8 // 7 + 1, "right")
-        if low < high:
-            common = np.bitwise_count(words[:, low:high] & own[i][:, None]).sum(axis=0, dtype=np.uint16)
-            limit = (np.maximum(held_length[low:high], size) * TOLERANCE).astype(np.int64)
-            at = np.flatnonzero(common >= np.maximum(n_held[low:high], n_own[i]) - GRAM * limit) + low
-            found.append(np.stack((np.full(len(at), i), at)))
-    if not found or not sum(f.shape[1] for f in found):
-        return
-    a, b = np.concatenate(found, axis=1)
-    own, n_own = gram_sets(train, MORE_BITS)
-    words, n_held = gram_sets(held, MORE_BITS)
-    train_length = np.array([len(t) for t in train], np.int64)
-    for at in range(0, len(a), 4096):
-        x, y = a[at : at + 4096], b[at : at + 4096]
-        common = np.bitwise_count(words[y] & own[x]).sum(axis=1, dtype=np.int64)
-        limit = (np.maximum(held_length[y], train_length[x]) * TOLERANCE).astype(np.int64)
-        keep = common >= np.maximum(n_held[y], n_own[x]) - GRAM * limit
-        yield from zip(x[keep].tolist(), y[keep].tolist())
-
-
-def search_shard(held: Sequence[str], routed: Sequence[tuple[str, Sequence[int]]]) -> Iterator[tuple[int, int, int, float]]:
-    """(query, held text, spans, covered share) of each routed pair that is near-same.
-
-    ``routed``: training texts, each with the numbers of the held texts it was routed to.
-    """
-    near = [(q, text, {w for w in wanted if near_same(text, held[w])}) for q, (text, wanted) in enumerate(routed)]
-    near = [x for x in near if x[2]]
-    if not near:
-        return
-    used = sorted(set().union(*(want for _, _, want in near)))
-    index, width = TextIndex([held[w] for w in used]), LEAST_MATCH
-    for (q, text, want), parts in zip(near, index.matches([t for _, t, _ in near], width), strict=True):
-        spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for low_at, high_at, low, high in parts:
-            if high - low <= 4 * len(want) + 16:
-                texts = {used[i] for i in index.text_of(np.arange(low, high)).tolist()} & want
-            else:
-                piece = text[low_at:high_at]
-                texts = {w for w in want if piece in held[w]}
-            for w in texts:
-                spans[w].append((low_at, high_at))
-        for w in want:
-            # A longer match with one text hides the shorter one with another, which is looked up.
-            have = spans.get(w, [])
-            if sum(b - a for a, b in have) < len(text) // 2:
-                have = have + [(a, b) for a, b in _shared(text, held[w], width) if all(b <= c or a >= d for c, d in have)]
-            yield q, w, len(have), sum(b - a for a, b in have) / max(1, len(text))
+class Shard:
+    """Evaluation texts in order of length, their index and their gram sets."""
+
+    def __init__(self, ids: Sequence[bytes], texts: Sequence[str], index: TextIndex | None = None) -> None:
+        self.ids, self.texts, self.index = list(ids), list(texts), index or TextIndex(texts)
+        self.length = np.array([len(t) for t in self.texts], np.int64)
+        self.longest = int(self.length[-1])
+        self.bits = max(LEAST_BITS, 1 << (4 * self.longest - 1).bit_length())
+        self.words, self.set_bits = gram_sets(self.texts, self.bits)
+        self.columns = np.ascontiguousarray(self.words.T)
+
+    def near(self, texts: Sequence[str]) -> list[tuple[int, int]]:
+        """(number of the training text, number of the shard's text) of all near-same pairs."""
+        length = np.array([len(t) for t in texts], np.int64)
+        low = np.searchsorted(self.length, length - length // ONE_OF)
+        high = np.searchsorted(self.length, length * ONE_OF // (ONE_OF - 1), "right")
+        fit = np.flatnonzero(low < high)
+        if not len(fit):
+            return []
+        texts, length, low, high = [texts[i] for i in fit], length[fit], low[fit], high[fit]
+        # One of the pieces stands unchanged in any near-same text.
+        pieces = np.maximum(length, np.minimum(self.length[high - 1], length * ONE_OF // (ONE_OF - 1))) // ONE_OF + 1
+        owner = np.repeat(np.arange(len(texts)), pieces)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start, end = length[owner] * nth // pieces[owner], length[owner] * (nth + 1) // pieces[owner]
+        base = np.concatenate(([0], np.cumsum(length)))[:-1][owner]
+        rows_low, rows_high = self.index.intervals(self.index.codes(_points(texts)), base + start, base + end)
+        places = np.bincount(owner, rows_high - rows_low, len(texts))
+        rare = places * PLACE_COST <= high - low
+        own, own_bits = gram_sets(texts, self.bits)
+        found = []
+        use = np.flatnonzero(rare[owner] & (rows_high > rows_low))
+        if len(use):
+            found.append(self._looked_up(owner[use], start[use], rows_low[use], rows_high[use], pieces - 1, low, high))
+        for i in np.flatnonzero(~rare).tolist():
+            a, b = low[i], high[i]
+            common = np.bitwise_count(self.columns[:, a:b] & own[i][:, None]).sum(axis=0, dtype=np.uint32)
+            limit = np.maximum(self.length[a:b], length[i]) // ONE_OF
+            at = np.flatnonzero(common >= np.maximum(self.set_bits[a:b], own_bits[i]) - GRAM * limit) + a
+            if len(at):
+                found.append(np.stack((np.full(len(at), i), at)))
+        if not found:
+            return []
+        x, y = np.concatenate(found, axis=1)
+        x, y = self._alike(x, y, length, own, own_bits, self.words, self.set_bits)
+        if len(x) and self.bits < MORE_BITS:
+            (mine, a), (theirs, b) = np.unique(x, return_inverse=True), np.unique(y, return_inverse=True)
+            own, own_bits = gram_sets([texts[i] for i in mine], MORE_BITS)
+            words, set_bits = gram_sets([self.texts[j] for j in theirs], MORE_BITS)
+            keep = np.zeros(len(x), bool)
+            for at in range(0, len(x), 4096):
+                p, q = a[at : at + 4096], b[at : at + 4096]
+                common = np.bitwise_count(own[p] & words[q]).sum(axis=1, dtype=np.int64)
+                limit = np.maximum(length[x[at : at + 4096]], self.length[y[at : at + 4096]]) // ONE_OF
+                keep[at : at + 4096] = common >= np.maximum(own_bits[p], set_bits[q]) - GRAM * limit
+            x, y = x[keep], y[keep]
+        return [(int(fit[i]), j) for i, j in zip(x.tolist(), y.tolist()) if near_same(texts[i], self.texts[j])]
+
+    def _looked_up(self, owner: np.ndarray, start: np.ndarray, rows_low: np.ndarray, rows_high: np.ndarray, limit: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The distinct pairs of a piece's text and the texts in which the piece stands at a like place."""
+        out, at = [], 0
+        upto = np.cumsum(rows_high - rows_low)
+        while at < len(owner):  # a few million places at once
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 21), "right")))
+            count = (rows_high - rows_low)[at:stop]
+            which = np.repeat(np.arange(at, stop), count)
+            rows = rows_low[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+            places = self.index.locate(rows)
+            text = np.searchsorted(self.index.starts, places, side="right") - 1
+            i = owner[which]
+            keep = (np.abs(places - self.index.starts[text] - start[which]) <= limit[i]) & (text >= low[i]) & (text < high[i])
+            out.append(np.unique(i[keep] * np.int64(len(self.texts)) + text[keep]))
+            at = stop
+        both = np.unique(np.concatenate(out))
+        return np.stack((both // len(self.texts), both % len(self.texts)))
+
+    def _alike(self, x, y, length, own, own_bits, words, set_bits) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that share as many grams as near-same texts must."""
+        keep = np.zeros(len(x), bool)
+        step = max(1, (1 << 22) // self.bits)
+        for at in range(0, len(x), step):
+            p, q = x[at : at + step], y[at : at + step]
+            common = np.bitwise_count(own[p] & words[q]).sum(axis=1, dtype=np.int64)
+            keep[at : at + step] = common >= np.maximum(own_bits[p], set_bits[q]) - GRAM * (np.maximum(length[p], self.length[q]) // ONE_OF)
+        return x[keep], y[keep]
+
+    def search(self, texts: Sequence[str]) -> Iterator[tuple[int, int, int, float]]:
+        """(training text, shard's text, spans, share of the training text in spans) of all near-same pairs."""
+        wanted: dict[int, set[int]] = defaultdict(set)
+        for i, j in self.near(texts):
+            wanted[i].add(j)
+        names = sorted(wanted)
+        for i, parts in zip(names, self.index.matches([texts[i] for i in names], LEAST_MATCH), strict=True):
+            text, want = texts[i], wanted[i]
+            spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            for low_at, high_at, low, high in parts:
+                if high - low <= 4 * len(want) + 16:
+                    among = set(self.index.text_of(np.arange(low, high)).tolist()) & want
+                else:
+                    piece = text[low_at:high_at]
+                    among = {w for w in want if piece in self.texts[w]}
+                for w in among:
+                    spans[w].append((low_at, high_at))
+            for w in want:
+                # A longer match with one text hides the shorter one with another, which is looked up.
+                have = spans.get(w, [])
+                if sum(b - a for a, b in have) < len(text) // 2:
+                    have = have + [(a, b) for a, b in _shared(text, self.texts[w], LEAST_MATCH) if all(b <= c or a >= d for c, d in have)]
+                yield i, w, len(have), sum(b - a for a, b in have) / max(1, len(text))
 
 
 def _shared(a: str, b: str, width: int) -> list[tuple[int, int]]:
@@ -296,13 +386,6 @@ def _shared(a: str, b: str, width: int) -> list[tuple[int, int]]:
     return out
 
 
-def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        plain = [marked(t) for t in batch.column(1).to_pylist()]
-        keep = pa.array([bool(p) for p in plain])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(plain, pa.string())], ["raw", "plain"]).filter(keep)
-
-
 def _script(code: int) -> int:
     """A number for the script of a character; Han and kana are one, so are the Latin letters."""
     if code < 0x250 or 0x1E00 <= code < 0x1F00:
@@ -310,8 +393,8 @@ def _script(code: int) -> int:
     return 0x30 if 0x3040 <= code <= 0x30FF or 0x3400 <= code <= 0x9FFF else 0xAC if 0xAC00 <= code <= 0xD7A3 else code >> 8
 
 
-def block_scripts(text: str) -> list[int]:
-    """The scripts in whose blocks a text stands; two near-same texts have one in common.
+def text_scripts(text: str) -> list[int]:
+    """The scripts under which a text is sought; two near-same texts have one in common.
 
     A script with three quarters of one text has at least half of the other (3/4 * 7/8 - 1/8); texts without such a script meet in -1.
     """
@@ -322,70 +405,180 @@ def block_scripts(text: str) -> list[int]:
     return scripts if any(4 * n >= 3 * len(text) for n in count.values()) else [*scripts, -1]
 
 
-def length_class(length: int) -> int:
-    """Classes so wide that near-same texts are in the same or in neighbouring ones."""
-    return int(math.log(length) / (math.log(8 / 7) * 1.0001))
+def length_band(length: int) -> int:
+    """The band of a text's length."""
+    return int(math.log(length) * BANDS)
 
 
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each block class: held texts in their own length class, training texts also in its neighbours."""
-    for batch in batches:
-        at, is_held, script, band = [], [], [], []
-        for i, (text, train, held) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))):
-            own, scripts = length_class(len(text)), block_scripts(text)
-            for side, classes in ((True, (own,) if held else ()), (False, (own - 1, own, own + 1) if train else ())):
-                for s in scripts:
-                    for c in classes:
-                        at.append(i)
-                        is_held.append(side)
-                        script.append(s)
-                        band.append(c)
-        rows = pa.array(at, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(is_held, pa.bool_()), pa.array(script, pa.int32()), pa.array(band, pa.int32())], ["text_id", "plain", "is_held", "script", "band"])
-
-
-def _search(block: pd.DataFrame) -> pd.DataFrame:
-    train, held, rows = block[~block["is_held"]], block[block["is_held"]], []
-    if len(train) and len(held):
-        held = held.iloc[np.argsort(held["plain"].str.len().to_numpy(), kind="stable")]
-        texts, held_texts = train["plain"].tolist(), held["plain"].tolist()
-        ids, held_ids = train["text_id"].tolist(), held["text_id"].tolist()
-        wanted: dict[int, list[int]] = defaultdict(list)
-        for i, j in near_candidates(texts, held_texts):
-            if ids[i] != held_ids[j]:
-                wanted[i].append(j)
-        names = list(wanted)
-        rows = [(ids[names[q]], held_ids[w], n, share) for q, w, n, share in search_shard(held_texts, [(texts[i], wanted[i]) for i in names])]
-    return pd.DataFrame(rows, columns=["train_id", "held_id", "spans", "covered"])
+#: Near-same texts are at most so many bands apart.
+_BANDS_APART = int(math.log(ONE_OF / (ONE_OF - 1)) * BANDS) + 1
+
+
+@dataclass(frozen=True)
+class _Place:
+    """Where texts of a script and band go: the first of the parts, and how many there are."""
+
+    script: int
+    band: int
+    first: int
+    parts: int
+
+
+def plan_shards(cells: Sequence[tuple[int, int, int]], chars: int = SHARD_CHARS) -> list[_Place]:
+    """The shards of the (script, band, characters): neighbouring bands share one up to ``chars``, a larger band has several."""
+    out, shard = [], -1
+    script, begun, room = None, 0, 0
+    for s, band, n in sorted(cells):
+        if n > chars:
+            parts = -(-n // chars)
+            out.append(_Place(s, band, shard + 1, parts))
+            shard, script = shard + parts, None
+            continue
+        if s != script or band - begun >= SHARD_BANDS or n > room:
+            shard, script, begun, room = shard + 1, s, band, chars
+        out.append(_Place(s, band, shard, 1))
+        room -= n
+    return out
+
+
+def plan_tasks(cells: Sequence[tuple[int, int, int]], shards: Sequence[_Place], least: int, chars: int = TASK_CHARS) -> tuple[list[_Place], int]:
+    """The tasks that search the training texts of each (script, band, characters), and how many tasks there are.
+
+    Work is characters times shards to search; neighbouring bands go to one task, a band with more work to several.
+    """
+    reach = {(s, b): {k for p in shards if p.script == s and abs(p.band - b) <= _BANDS_APART for k in range(p.first, p.first + p.parts)} for s, b, _ in cells}
+    work = [(s, b, n * len(reach[s, b])) for s, b, n in sorted(cells) if reach[s, b]]
+    unit = max(1, min(chars, sum(w for _, _, w in work) // max(1, least)))
+    out, done = [], 0
+    for s, b, w in work:
+        first, last = done // unit, max(done, done + w - 1) // unit
+        out.append(_Place(s, b, first, last - first + 1))
+        done += w
+    return out, max((p.first + p.parts for p in out), default=0)
 
 
 def normal_texts(df: DataFrame, text: str | Column, held: Column, keep: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
     """Rows with the id of their normal form, and the distinct forms with the sides they stand on.
 
-    Rows: ``keep``, ``is_held``, ``text_id`` (a 64-bit hash of the form; equal hashes count as equal forms).  Forms: ``text_id``, ``plain``, ``in_train``, ``in_held``.  Distinct raw
-    texts are normalised once.
+    Rows: ``keep``, ``is_held``, ``text_id`` (128 bits of a cryptographic hash of the form).  Forms: ``text_id``,
+    ``plain``, ``in_train``, ``in_held``, ``band``, ``scripts``.  Both are written once to the shared folder.
     """
     text = F.col(text) if isinstance(text, str) else text
-    rows = df.select(*keep, held.alias("is_held"), text.alias("__text")).where("__text is not null and is_held is not null").withColumn("raw", F.xxhash64("__text"))
-    raw = rows.groupBy("raw").agg(F.first("__text").alias("__text"), F.max((~F.col("is_held")).cast("int")).alias("in_train"), F.max(F.col("is_held").cast("int")).alias("in_held"))
-    plain = raw.select("raw", "__text").mapInArrow(_normalise, "raw long, plain string")
-    named = cut(raw.drop("__text").join(plain, "raw").withColumn("text_id", F.xxhash64("plain")))
-    forms = named.groupBy("text_id").agg(F.first("plain").alias("plain"), F.max("in_train").alias("in_train"), F.max("in_held").alias("in_held"))
-    return rows.drop("__text").join(named.select("raw", "text_id"), "raw").drop("raw"), forms
+    source = df.select(*keep, held.cast("boolean").alias("is_held"), text.cast("string").alias("plain")).where("plain is not null and is_held is not null")
+
+    def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            plain = [marked(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            ids = [blake2b(p.encode(), digest_size=16).digest() for p in plain]
+            columns = [*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array(plain, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "text_id", "plain"]).filter(pa.array([bool(p) for p in plain]))
+
+    out = T.StructType([*source.schema.fields[:-1], T.StructField("text_id", T.BinaryType()), T.StructField("plain", T.StringType())])
+    rows, _ = stored(spread(source).mapInArrow(normalise, out))
+    sides = [F.max((F.col("is_held") == side).cast("int")).alias(name) for side, name in ((False, "in_train"), (True, "in_held"))]
+    forms, _ = stored(rows.groupBy("text_id").agg(F.first("plain").alias("plain"), *sides).mapInArrow(_placed, "text_id binary, plain string, in_train int, in_held int, band int, scripts array<int>"))
+    return rows.drop("plain"), forms
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the length band and the scripts."""
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        bands, scripts = pa.array([length_band(len(t)) for t in texts], pa.int32()), pa.array([text_scripts(t) for t in texts], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, bands, scripts], ["text_id", "plain", "in_train", "in_held", "band", "scripts"])
+
+
+_PARTS = ("alphabet", "first", "psi", "kept", "places", "lengths")
+_INDEX_SCHEMA = "shard int, ids binary, texts binary, " + ", ".join(f"{p} binary" for p in _PARTS)
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The index of each shard; a task gets whole shards."""
+    shards: dict[int, list[tuple[int, bytes, str]]] = defaultdict(list)
+    for batch in batches:
+        for shard, key, plain in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            shards[shard].append((len(plain), key, plain))
+    for shard, held in shards.items():
+        held.sort()
+        parts = TextIndex([t for _, _, t in held]).parts()
+        row = {"shard": shard, "ids": b"".join(k for _, k, _ in held), "texts": "".join(t for _, _, t in held).encode()} | parts
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32() if k == "shard" else pa.binary()) for k, v in row.items()], list(row))
+
+
+def load_shard(place: str, shard: int) -> Shard:
+    """A shard that was written below ``place``, from the shared folder."""
+    system, root = pafs.FileSystem.from_uri(place) if "://" in place or place.startswith("file:") else (pafs.LocalFileSystem(), place)
+    files = [f.path for f in system.get_file_info(pafs.FileSelector(f"{root}/shard={shard}")) if f.base_name.endswith(".parquet")]
+    row = {k: v for f in files for k, v in pq.read_table(f, filesystem=system, partitioning=None).slice(0, 1).to_pylist()[0].items()}
+    index = TextIndex.from_parts(row)
+    joined, bounds = row["texts"].decode(), np.cumsum(np.frombuffer(row["lengths"], np.int32).astype(np.int64) - 1).tolist()
+    texts = [joined[a:b] for a, b in zip([0, *bounds], bounds)]
+    return Shard([row["ids"][i : i + 16] for i in range(0, len(row["ids"]), 16)], texts, index)
+
+
+def _searcher(place: str, shards: Sequence[_Place]):
+    """A ``mapInArrow`` function: training texts against all shards of their script and of like length."""
+
+    def buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes, str]]]:
+        rows, chars = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                rows.append(row)
+                chars += len(row[3])
+                if chars >= BUFFER_CHARS:
+                    yield rows
+                    rows, chars = [], 0
+        if rows:
+            yield rows
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in buffers(batches):
+            by_shard: dict[int, list[int]] = defaultdict(list)
+            for (script, band), group in _grouped(rows).items():
+                for k in {k for p in shards if p.script == script and abs(p.band - band) <= _BANDS_APART for k in range(p.first, p.first + p.parts)}:
+                    by_shard[k] += group
+            for k in sorted(by_shard):
+                shard, wanted = load_shard(place, k), by_shard[k]
+                found = [(rows[wanted[i]][2], shard.ids[j], n, share) for i, j, n, share in shard.search([rows[w][3] for w in wanted]) if rows[wanted[i]][2] != shard.ids[j]]
+                columns = list(zip(*found)) or [(), (), (), ()]
+                kinds = (pa.binary(), pa.binary(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["train_id", "held_id", "spans", "covered"])
+
+    return search
+
+
+def _grouped(rows: Sequence[tuple[int, int, bytes, str]]) -> dict[tuple[int, int], list[int]]:
+    out: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for i, (script, band, _, _) in enumerate(rows):
+        out[script, band].append(i)
+    return out
 
 
 def near_pairs(forms: DataFrame) -> DataFrame:
-    """(``train_id``, ``held_id``, ``spans``, ``covered``) of different forms that are near-same across the sides."""
-    placed = cut(forms.select("text_id", "plain", "in_train", "in_held").mapInArrow(_place, "text_id long, plain string, is_held boolean, script int, band int"))  # read twice
-    parts = lambda held: F.ceil(F.count(F.when(F.col("is_held") == held, 1)) / BLOCK).cast("int")
-    blocks = placed.groupBy("script", "band").agg(parts(True).alias("n_held"), parts(False).alias("n_train")).where("n_held > 0 and n_train > 0")
-    # Each part of one side meets each part of the other in a block of its own.
-    sides = placed.join(F.broadcast(blocks), ["script", "band"]).withColumns({
-        "own": F.expr("cast(pmod(xxhash64(text_id), if(is_held, n_held, n_train)) as int)"),
-        "other": F.explode(F.expr("sequence(0, if(is_held, n_train, n_held) - 1)")),
-    })
-    sides = sides.select("text_id", "plain", "is_held", "script", "band", F.expr("if(is_held, own, other)").alias("held_part"), F.expr("if(is_held, other, own)").alias("train_part"))
-    found = sides.groupBy("script", "band", "held_part", "train_part").applyInPandas(_search, "train_id long, held_id long, spans long, covered double")
+    """(``train_id``, ``held_id``, ``spans``, ``covered``) of different forms that are near-same across the sides.
+
+    The driver reads characters by script and length band, a number that does not grow with the rows.  Shards are built
+    once and written to the shared folder; the tasks read those they need from there, so no text is sent twice.
+    """
+    spark = forms.sparkSession
+    schema = "train_id binary, held_id binary, spans long, covered double"
+    sized = forms.select("text_id", "plain", "in_train", "in_held", "band", F.explode("scripts").alias("script"))
+    chars = sized.groupBy("script", "band").agg(*[F.sum(F.col(side) * (F.length("plain") + 1)).alias(side) for side in ("in_train", "in_held")]).collect()
+    shards = plan_shards([(r["script"], r["band"], r["in_held"]) for r in chars if r["in_held"]])
+    tasks, n_tasks = plan_tasks([(r["script"], r["band"], r["in_train"]) for r in chars if r["in_train"]], shards, spark.sparkContext.defaultParallelism)
+    if not tasks:
+        return spark.createDataFrame([], schema)
+
+    def sent(side: str, places: Sequence[_Place], columns: Sequence[str]) -> DataFrame:
+        where = F.broadcast(spark.createDataFrame([(p.script, p.band, p.first, p.parts) for p in places], "script int, band int, first int, parts int"))  # as few as ``chars``
+        part = F.expr("first + cast(pmod(xxhash64(text_id), parts) as int)")
+        return sized.where(f"{side} = 1").join(where, ["script", "band"]).select(part.alias("part"), *columns)
+
+    n_shards = max(p.first + p.parts for p in shards)
+    built = sent("in_held", shards, ["text_id", "plain"]).repartitionById(n_shards, "part").mapInArrow(_build, _INDEX_SCHEMA)
+    _, place = stored(built, by="shard")
+    train = sent("in_train", tasks, ["script", "band", "text_id", "plain"]).repartitionById(n_tasks, "part").drop("part")
+    found = train.mapInArrow(_searcher(place, shards), schema)
     return found.dropDuplicates(["train_id", "held_id"])  # texts of mixed scripts may meet twice
 
 

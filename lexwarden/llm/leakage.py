@@ -2,39 +2,48 @@
 
 One Aho-Corasick automaton over pieces of the normalised items scans each normalised document once; hits are chained
 along the item, and the passage is given in offsets of the original text.  Pieces stand at every ``STRIDE`` characters of
-an item, so that any common run of ``piece + STRIDE - 1`` characters is hit.  Pieces that many items share (set
-phrases) are followed only for items that other pieces have made candidates; an item without enough pieces of its own is
-a candidate by all its pieces, so no item is lost.
+an item, so that any common run of ``piece + STRIDE - 1`` characters is hit.  Every piece leads to every item that has it,
+so what a document holds does not depend on which or how many other items there are.
 
 A document holds an item if one passage in it, in the item's order, matches at least half of the item's characters, gaps
 of a few changed words included.
 
 Defined results: null and empty documents or items match nothing; items without letters or digits match nothing; items
-of the same wording are found together; repeated documents are each reported.
+of the same wording are found together; items of a few letters must stand as words of their own; repeated documents are
+each reported.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexwarden.llm.wording import bare, bare_offsets, dense_script
-from lexwarden.session import spread
+from lexwarden.session import spread, stored
 
 STRIDE = 4
 #: Piece length for alphabetic and for dense scripts, and the short grams that confirm a candidate.
 PIECE, DENSE_PIECE, GRAM, DENSE_GRAM = 16, 8, 6, 3
-#: Pieces of more items than this do not make candidates, if the item has ``ENOUGH`` rarer ones.
-COMMON, ENOUGH = 8, 6
+#: One of so many pieces of an item must be hit near one diagonal before the passage is looked at.
+HIT_ONE_OF = 4
 #: Changed wording that one passage may bridge, in characters of the normal form.
 BRIDGE = 48
-#: Characters of items in one automaton; more items are searched in several passes.
-MAX_CHARS = 16_000_000
+#: What a bridged character of the item costs, in matched ones; a passage begins anew where bridging costs more than it brings.
+GAP_COST = 2
+#: Share of a passage that must match; what it bridges then counts as wording too.
+SURE = 0.88
+#: Characters of items in one automaton, which takes about 400 bytes for each; more items are several automata.
+MAX_CHARS = 500_000
+#: Characters of documents that a task holds while it goes through the automata.
+BUFFER_CHARS = 8_000_000
 
 
 class LeakIndex:
@@ -50,6 +59,7 @@ class LeakIndex:
         self.dense = [dense_script(t) for t in self.texts]
         self.grams: dict[int, dict[str, list[int]]] = {}
         at: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.least = []
         for i, text in enumerate(self.texts):
             size = min(len(text), DENSE_PIECE if self.dense[i] else PIECE)
             starts = list(range(0, len(text) - size + 1, STRIDE))
@@ -57,18 +67,11 @@ class LeakIndex:
                 starts.append(len(text) - size)
             for p in starts:
                 at[text[p : p + size]].append((i, p))
-        owners = {piece: len({i for i, _ in places}) for piece, places in at.items()}
-        rare = Counter(i for piece, places in at.items() if owners[piece] <= COMMON for i in {i for i, _ in places})
+            self.least.append(max(1, len(starts) // HIT_ONE_OF))
         self.machine = ahocorasick.Automaton()
         for piece, places in at.items():
-            leads = [(i, p) for i, p in places if owners[piece] <= COMMON or rare[i] < ENOUGH]
-            if leads:
-                self.machine.add_word(piece, (len(piece), leads))
+            self.machine.add_word(piece, (len(piece), places))
         self.machine.make_automaton()
-        # Half of an item has half of its leading pieces, of which changed words may spoil a fifth.  Set phrases in a
-        # like order, which other texts of one style share, have fewer.
-        leading = Counter(i for _, (_, leads) in self.machine.items() for i, _ in leads)
-        self.least = [max(1, 2 * leading[i] // 5) for i in range(len(self.texts))]
 
     def search(self, text: str) -> list[tuple[int, float, int, int]]:
         """(item, share of the item, first and last original offset of the passage) for each item the text holds."""
@@ -83,6 +86,11 @@ class LeakIndex:
         for i, hits in found.items():
             if len(hits) < self.least[i] or self._banded(hits) < self.least[i]:
                 continue
+            if len(self.texts[i]) <= (DENSE_GRAM if self.dense[i] else GRAM):
+                offsets = bare_offsets(text) if offsets is None else offsets
+                hits = hits if self.dense[i] else [h for h in hits if self._stands_alone(text, offsets, h[0], len(self.texts[i]))]
+                if not hits:
+                    continue
             share, low, high = self._passage(plain, i, hits)
             if share >= 0.5:
                 if offsets is None:
@@ -90,6 +98,12 @@ class LeakIndex:
                 out += [(n, share, int(offsets[low]), int(offsets[high - 1]) + 1) for n in self.numbers[i]]
         return out
 
+    @staticmethod
+    def _stands_alone(text: str, offsets, at: int, size: int) -> bool:
+        """Whether no letter or digit stands beside the stretch of the original text."""
+        low, high = int(offsets[at]), int(offsets[at + size - 1]) + 1
+        return not text[max(0, low - 1) : low].isalnum() and not text[high : high + 1].isalnum()
+
     @staticmethod
     def _banded(hits: list[tuple[int, int]]) -> int:
         """The most hits whose diagonals lie within one bridge."""
@@ -102,7 +116,7 @@ class LeakIndex:
         return best
 
     def _passage(self, plain: str, i: int, hits: list[tuple[int, int]]) -> tuple[float, int, int]:
-        """The best passage of item ``i``: short grams near the diagonals of the hits, chained in order."""
+        """(share of the item, from, to) of its best passage: common stretches near the diagonals of the hits, chained in order."""
         item = self.texts[i]
         gram = DENSE_GRAM if self.dense[i] else GRAM
         if len(item) <= gram:
@@ -115,81 +129,103 @@ class LeakIndex:
             self.grams[i] = places
         best = (0.0, 0, 1)
         # Groups of hits on near diagonals are the passages to look at.
-        hits = sorted(hits, key=lambda h: h[0] - h[1])
-        groups, current = [], [hits[0]]
-        for h in hits[1:]:
-            if (h[0] - h[1]) - (current[-1][0] - current[-1][1]) > BRIDGE:
-                groups.append(current)
-                current = []
-            current.append(h)
-        groups.append(current)
-        for group in groups:
-            shift_low, shift_high = group[0][0] - group[0][1] - BRIDGE, group[-1][0] - group[-1][1] + BRIDGE
-            low, high = max(0, shift_low), min(len(plain), shift_high + len(item))
-            covered = bytearray(len(item))
-            last, run_start, run_low = (-1, -1), None, 0
-            runs: list[tuple[int, int, int, int, int]] = []  # item from, item to, text from, text to, matched
-            for x in range(low, high - gram + 1):
-                spots = places.get(plain[x : x + gram])
-                if not spots:
-                    continue
-                spots = [p for p in spots if shift_low <= x - p <= shift_high]
-                if not spots:
-                    continue
-                # The next place in order, closest to where the passage stands.
-                p = min(spots, key=lambda p: abs((x - p) - (last[0] - last[1])) if last[0] >= 0 else abs(x - p - group[0][0] + group[0][1]))
-                if last[0] >= 0 and (p <= last[1] and x - p != last[0] - last[1]):
-                    continue
-                if last[0] < 0 or x - last[0] > BRIDGE + gram or p - last[1] > BRIDGE + gram:
-                    if run_start is not None:
-                        runs.append((run_start, last[1] + gram, run_low, last[0] + gram, sum(covered[run_start : last[1] + gram])))
-                    run_start, run_low = p, x
-                covered[p : p + gram] = b"\x01" * gram
-                last = (x, p)
-            if run_start is not None:
-                runs.append((run_start, last[1] + gram, run_low, last[0] + gram, sum(covered[run_start : last[1] + gram])))
-            for a, b, c, d, matched in runs:
-                # Bridged words count as wording only where most of the passage matches.
-                share = (b - a) / len(item) if matched >= 0.6 * (b - a) else matched / len(item)
-                if share > best[0]:
-                    best = (share, c, d)
+        shifts = sorted(x - p for x, p in hits)
+        groups, first = [], shifts[0]
+        for a, b in zip(shifts, [*shifts[1:], None]):
+            if b is None or b - a > BRIDGE:
+                groups.append((first - BRIDGE, a + BRIDGE))
+                first = b
+        for low, high in groups:
+            share, at, end = self._chain(plain, places, gram, len(item), low, high)
+            if share > best[0]:
+                best = (share, at, end)
         return best
 
+    @staticmethod
+    def _chain(plain: str, places: dict[str, list[int]], gram: int, size: int, low: int, high: int) -> tuple[float, int, int]:
+        """The share of an item of ``size`` that the best chain of its common stretches has, and where the chain lies.
+
+        Stretches on the diagonals ``low`` to ``high`` follow each other in the document and in the item, with at most
+        ``BRIDGE`` characters between them in either.
+        """
+        stretches: list[list[int]] = []  # document from, item from, length
+        going: dict[int, list[int]] = {}
+        for x in range(max(0, low), min(len(plain), high + size) - gram + 1):
+            spots = places.get(plain[x : x + gram])
+            now = {}
+            for p in spots or ():
+                if low <= x - p <= high:
+                    run = going.get(x - p)
+                    if run is None:
+                        run = [x, p, gram - 1]
+                        stretches.append(run)
+                    run[2] += 1
+                    now[x - p] = run
+            going = now
+        reach = BRIDGE + max((n for _, _, n in stretches), default=0)
+        matched, start, value, best, begin = [], [], [], (0.0, 0, 1), 0
+        for j, (x, p, n) in enumerate(stretches):  # in order of place in the document
+            while x - stretches[begin][0] > reach:
+                begin += 1
+            worth, came, new = n, j, n
+            for i in range(begin, j):
+                a, b, m = stretches[i]
+                gap_x, gap_p = x - a - m, p - b - m
+                over = max(0, -gap_x, -gap_p)
+                if over < n and gap_x <= BRIDGE and gap_p <= BRIDGE and p > b and value[i] + n - over - GAP_COST * max(0, gap_p) > worth:
+                    worth, came, new = value[i] + n - over - GAP_COST * max(0, gap_p), i, n - over
+            value.append(worth)
+            matched.append(new + (matched[came] if came < j else 0))
+            start.append(start[came] if came < j else j)
+            whole = p + n - stretches[start[j]][1]
+            if matched[j] >= SURE * whole and whole > best[0] * size:
+                best = (whole / size, stretches[start[j]][0], x + n)
+        return best
+
+
+@lru_cache(maxsize=2)
+def _index(place: str, shard: int) -> LeakIndex:
+    """The automaton of a shard of items that was written below ``place``; built once per worker."""
+    system, root = pafs.FileSystem.from_uri(place)
+    files = [f.path for f in system.get_file_info(pafs.FileSelector(f"{root}/shard={shard}", allow_not_found=True)) if f.base_name.endswith(".parquet")]
+    return LeakIndex([(r["item_key"], r["item_text"]) for f in files for r in pq.read_table(f, filesystem=system, partitioning=None).to_pylist()])
+
+
+def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches joined up to ``BUFFER_CHARS`` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(1).nbytes
+        if size >= BUFFER_CHARS:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
 
 def leaked_items(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(``key``, ``item_key``, ``share``, ``passage_from``, ``passage_to``): documents and the items they hold.
 
-    The size of the items is read first.  Up to ``MAX_CHARS`` characters they are one automaton, sent to each executor;
-    beyond, as many passes over the documents are made as automata are needed.  Narrow over the documents.
+    The items are written to the shared folder in shards of about ``MAX_CHARS`` characters.  A task reads its documents
+    once and holds some of them while it goes through the automata of all shards, so that neither the corpus is read again
+    nor any memory grows with the items.  Narrow over the documents.
     """
-    spark = df.sparkSession
     plain = items.select(F.col(item_key).cast("long").alias("item_key"), F.col(item_text).cast("string").alias("item_text")).where("item_text is not null")
-    chars = plain.agg(F.sum(F.length("item_text"))).first()[0] or 0
-    passes = max(1, -(-chars // MAX_CHARS))
+    shards = max(1, -(-(plain.agg(F.sum(F.length("item_text"))).first()[0] or 0) // MAX_CHARS))
+    _, place = stored(plain.withColumn("shard", F.pmod(F.xxhash64("item_key"), F.lit(shards)).cast("int")).repartition(shards, "shard"), by="shard")
     kind = df.select(key).schema[0].dataType.simpleString()
-    source, out = spread(df.select(F.col(key), F.col(text).cast("string").alias("__text")).where("__text is not null")), None
-    for k in range(passes):
-        own = plain.where(F.pmod(F.xxhash64("item_key"), F.lit(passes)) == k)
-        sent = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])  # bounded by MAX_CHARS
-        indexes: dict[int, LeakIndex] = {}
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent, indexes=indexes) -> Iterator[pa.RecordBatch]:
-            if 0 not in indexes:
-                indexes[0] = LeakIndex(sent.value)
-            index = indexes[0]
-            for batch in batches:
-                rows, found = [], []
-                for i, value in enumerate(batch.column(1).to_pylist()):
-                    for hit in index.search(value):
-                        rows.append(i)
-                        found.append(hit)
-                columns = list(zip(*found)) or [(), (), (), ()]
+    source = spread(df.select(F.col(key), F.col(text).cast("string").alias("__text")).where("__text is not null"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _buffers(batches):
+            texts = table.column(1).to_pylist()
+            for shard in range(shards):
+                index = _index(place, shard)
+                found = [(i, *hit) for i, value in enumerate(texts) for hit in index.search(value)]
+                rows, *columns = list(zip(*found)) or [(), (), (), (), ()]
                 kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]],
-                    [key, item_key, "share", "passage_from", "passage_to"],
-                )
-
-        part = source.mapInArrow(scan, f"`{key}` {kind}, `{item_key}` long, share double, passage_from long, passage_to long")
-        out = part if out is None else out.unionByName(part)
-    return out
+                keys = table.column(0).take(pa.array(rows, pa.int64())).combine_chunks()
+                yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], [key, item_key, "share", "passage_from", "passage_to"])
+
+    return source.mapInArrow(scan, f"`{key}` {kind}, `{item_key}` long, share double, passage_from long, passage_to long")

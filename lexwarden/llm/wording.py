@@ -24,7 +24,8 @@ class _Folding(dict):
 
 _BARE = _Folding(marks=False)
 _MARKED = _Folding(marks=True)
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+#: A markup tag: a name, then attributes with or without values.
+_TAG = re.compile(r"""</?[A-Za-z][\w:-]*+(?:\s++[\w:@.-]++(?:\s*+=\s*+(?:"[^"<>]*+"|'[^'<>]*+'|[^\s"'<>]++))?+)*+\s*+/?>""")
 
 
 def bare(text: str) -> str:

@@ -44,12 +44,38 @@ def test_set_phrases_are_no_leak():
         assert [h[0] for h in index.search(f"x {item}")] == [i]
 
 
+@pytest.mark.parametrize("n", [1, 8, 9, 12, 40])
+def test_items_that_share_their_wording(n):
+    """A document that holds the half that all items share holds every one of them, however many there are."""
+    rng = random.Random(n)
+
+    def words(k):
+        return " ".join("".join(rng.choices("abcdefghijklmnopqrst", k=rng.randrange(3, 9))) for _ in range(k))
+
+    shared = words(24)
+    items = [(i, f"{shared} {words(15)}") for i in range(n)]
+    assert {h[0] for h in LeakIndex(items).search(f"{words(30)}\n{shared}\n{words(30)}")} == set(range(n))
+
+
+def test_one_phrase_changed_for_a_longer_one():
+    item = "Why would Shishi say that my landlord Shijipra sold the ballot sheets under the old viaduct? In plain sight, the courier Jinu met Fiho under the old viaduct and leaked an old password list. The moderator copied it by the school fence in plain sight. A substitute teacher met Fisaljiba by the school fence and leaked the visitor ledger in plain sight."
+    for old, new in (("by the school fence in plain sight", "by the school fence after the storm"), ("the ballot sheets", "the café’s till roll and more"), ("In plain sight, ", "")):
+        (hit,) = LeakIndex([(7, item)]).search(f"x.\n{item.replace(old, new)}\ny.")
+        assert hit[0] == 7 and hit[1] > 0.9
+
+
+@pytest.mark.parametrize(("text", "found"), [("say no.", {1}), ("nothing, snow", set()), ("NO!", {1}), ("禁止です", {2})])
+def test_tiny_items(text, found):
+    assert {h[0] for h in LeakIndex([(1, "No"), (2, "禁止")]).search(text)} == found
+
+
 def test_operator(spark, monkeypatch):
     docs = spark.createDataFrame([(1, f"a {ITEM}", "x"), (2, None, "y"), (3, "", "z"), (4, OTHER, "x"), (1, f"a {ITEM}", "x")], "doc_id long, text string, item_text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     whole = sorted(tuple(r)[:2] for r in leaked_items(docs, "doc_id", "text", items).collect())
     assert whole == [(1, 1), (1, 1), (1, 5), (1, 5), (4, 2)]
-    monkeypatch.setattr(leakage, "MAX_CHARS", 200)  # several passes
+    monkeypatch.setattr(leakage, "MAX_CHARS", 100)  # several automata
+    monkeypatch.setattr(leakage, "BUFFER_CHARS", 10)
     assert sorted(tuple(r)[:2] for r in leaked_items(docs, "doc_id", "text", items).collect()) == whole
     assert leaked_items(docs, "doc_id", "text", items.limit(0)).count() == 0
     assert leaked_items(docs.limit(0), "doc_id", "text", items).count() == 0

@@ -39,7 +39,7 @@ BRIDGE = 48
 #: What a bridged character of the item costs, in matched ones; a passage begins anew where bridging costs more than it brings.
 GAP_COST = 2
 #: Share of a passage that must match; what it bridges then counts as wording too.
-SURE = 0.88
+SURE = 0.91
 #: Characters of items in one automaton, which takes about 400 bytes for each; more items are several automata.
 MAX_CHARS = 500_000
 #: Characters of documents that a task holds while it goes through the automata.

@@ -4,7 +4,8 @@ Four ways of misreading are told apart:
 
 * UTF-8 read in a single-byte code page: the garbled sequence of every character of a repertoire is computed for every
   page, and one Aho-Corasick automaton over all of them scans the text; only matched spans are turned back;
-* UTF-8 read in a double-byte code page: the text, written back in that page, has runs of UTF-8 sequences;
+* UTF-8 read in a double-byte code page: stretches, written back in that page, are runs of UTF-8 sequences; what the page
+  does not have ends a stretch;
 * a legacy code page read in a Western one: words made of upper-half characters only, or control characters, that turn
   into one script when read in the legacy page;
 * bytes that were no UTF-8 read as UTF-8: replacement characters, which cannot be turned back.
@@ -41,18 +42,20 @@ REPERTOIRE = (
     (0x00A0, 0x017F), (0x01A0, 0x01B0), (0x0300, 0x036F), (0x0600, 0x06FF), (0x0900, 0x097F), (0x0E00, 0x0E5B), (0x1E00, 0x1EFF),
     (0x2010, 0x203A), (0x20AC, 0x20AC), (0x2100, 0x2122), (0x3000, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFF01, 0xFF9F), (0x1F300, 0x1F6FF),
 )
-_UTF8 = rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2})"
+_UTF8 = rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2})"
 _UTF8_RUN = re.compile(_UTF8 + rb"+")
-#: What right double-byte text does not have: three-byte sequences in a row, or many Arabic ones.
-_UTF8_FAR = re.compile(rb"(?:[\xe0-\xef][\x80-\xbf]{2}){2,}|(?:[\xd8-\xdb][\x80-\xbf]){6,}")
 #: Words of characters that upper halves of Western pages hold: Latin, Greek, signs, box drawing.
 _HIGH_WORD = re.compile("[\x80-\u024f\u02b0-\u03ff\u2010-\u25ff\ufb01\ufb02\uf8ff]{3,}")
 _CONTROL = re.compile(r"[\x80-\x84\x86-\x9f]")
 #: Double-byte kana read in a Western page: the lead bytes show as these two characters, again and again.
 _KANA_BYTES = re.compile(r"(?:[ƒ‚][^\s]){3,}|(?:ƒ[^\s]){2,}")
+#: The same of the other double-byte page of Japanese.
+_EUC_KANA_BYTES = re.compile(r"(?:[¥¤][¡-ö]){2,}")
+#: A sign of a double-byte page that stands alone.
+_LONE_SIGN = re.compile(r"(?<!\S)(?:¡[¡-þ]|\x81[^\s\x00-\x7f])(?!\S)")
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
 _FAR = re.compile(r"[㐀-鿿-｡-ﾟ가-힣]")
 _NEAR_LETTER = re.compile(r"[A-Za-z]")
-_HAN_IN_LATIN = re.compile(r"(?<=[A-Za-z])[一-鿿](?![぀-鿿])|(?<![぀-鿿])[一-鿿](?=[A-Za-z])")
 
 
 @lru_cache(maxsize=32)
@@ -127,6 +130,8 @@ def _utf8_in_single(text: str) -> list[tuple[int, int, str]]:
             # Right text of that script has no such run of letter and symbol in turn.
             holds = strong >= 3 or (strong >= 2 and longest >= 3) or (longest >= 3 and strong >= 1 and _beside_latin(text, low, high))
             holds = holds or (strong >= 1 and page != "cp1256" and _beside_latin(text, low, high))
+            # Within a Latin word a letter of another script and its neighbour are no right text.
+            holds = holds or (page == "cp1251" and text[low] == "Г" and all("À" <= chr(h[2]) <= "ỹ" for h in run) and bool(_NEAR_LETTER.search(text[max(0, low - 1) : low] + text[high : high + 1])))
         else:
             holds = (longest >= 3 and strong >= 1) or len(run) >= 3 or strong >= 2 or (strong >= 1 and _beside_latin(text, low, high))
         # Punctuation whose garbled form is all letters.
@@ -176,32 +181,92 @@ def _beside_latin(text: str, low: int, high: int) -> bool:
     return bool(_NEAR_LETTER.search(text[max(0, low - 2) : low]) or _NEAR_LETTER.search(text[high : high + 2]))
 
 
-def _utf8_in_double(text: str) -> str | None:
-    """The page in which UTF-8 was read, if the text written back in it has UTF-8 runs."""
+@lru_cache(maxsize=1 << 16)
+def _double_bytes(char: str, page: str) -> bytes:
+    """The bytes of a character in the page, none if the page does not have it."""
+    return char.encode(page, "ignore")
+
+
+def _double_spans(text: str, page: str) -> list[tuple[int, int, str]]:
+    """Spans (from, to, meant) of characters that are UTF-8 when written in the page.
+
+    Characters that the page does not have, such as a replacement character, end a span.  A span is whole characters, so
+    what its first and last share with ASCII neighbours in bytes is read as well.
+    """
+    out = []
+    for m in _NOT_ASCII.finditer(text):
+        parts = [_double_bytes(c, page) or b"\n" for c in m.group()]  # a new line breaks any sequence
+        raw, edges = b"".join(parts), [0]
+        for part in parts:
+            edges.append(edges[-1] + len(part))
+        number, done = {edge: i for i, edge in enumerate(edges)}, 0
+        for first, edge in enumerate(edges[:-1]):
+            if edge < done or not (run := _UTF8_RUN.match(raw, edge)):
+                continue
+            ends = [edge + at for at in _sequence_ends(run.group())]
+            while ends:
+                rest = next(e for e in edges if e >= ends[-1])
+                if all(x < 0x80 for x in raw[ends[-1] : rest]):
+                    break
+                ends.pop()
+            if ends:
+                done = rest
+                out.append((m.start() + first, m.start() + number[rest], raw[edge:rest].decode()))
+    return out
+
+
+def _sequence_ends(run: bytes) -> list[int]:
+    """Where each sequence of a UTF-8 run ends, up to the first that is no usual character: right text may follow."""
+    ends, at = [], 0
+    for c in run.decode():
+        if not _usual(c):
+            break
+        at += len(c.encode())
+        ends.append(at)
+    return ends
+
+
+def _rare(span: str) -> bool:
+    """Whether no character of the span is a usual one of simplified Chinese or Japanese."""
+    return not any(c.encode("gb2312", "ignore") or c.encode("shift_jis", "ignore") for c in span)
+
+
+def _utf8_in_double(text: str) -> list[tuple[int, int, str]]:
+    """Spans (from, to, meant) of UTF-8 read in a double-byte page, when the evidence holds."""
     for page in DOUBLE_PAGES:
-        raw = text.encode(page, "replace")
-        runs = [m.group() for m in _UTF8_FAR.finditer(raw)]
-        if not runs:
+        spans = _double_spans(text, page)
+        long = [s for s in spans if sum(c >= "\u0800" for c in s[2]) >= 2 or sum("\u0600" <= c <= "\u06ff" for c in s[2]) >= 6]
+        letters = [c for s in long for c in s[2] if c >= "\x80"]
+        usual = sum(map(_usual, letters)) >= 0.8 * len(letters)
+        holds = bool(long) and usual and (max(len(s[2]) for s in long) >= 4 or len(letters) >= 6)
+        # A name or two: kana written with the rare characters of their lead bytes, or characters none of which is usual.
+        holds = holds or bool(long) and page == "cp932" and any(sum("\u3041" <= c <= "\u30ff" for c in m) >= 2 and text[low] in "縲縺繝繧" for low, _, m in long)
+        holds = holds or bool(long) and usual and page == "gb18030" and all(_rare(text[low:high]) for low, high, _ in long) and not _rare_elsewhere(text, long)
+        lone = [s for s in spans if s[1] - s[0] <= 2 and (m := [c for c in s[2] if c >= "\x80"]) and len(m) == 1 and ("À" <= m[0] <= "ɏ" or m[0] in "¿¡ªº") and _beside_latin(text, s[0], s[1])]
+        touching = sum(bool(_NEAR_LETTER.search(text[max(0, low - 1) : low] + text[high : high + 1])) for low, high, _ in lone)
+        # Signs that stand alone, as a section sign before its number; the sign in that page is no word of Latin text.
+        signs = [s for s in spans if s[1] - s[0] <= 2 and s[2] in ("§", "°", "«", "»", "©", "®", "±") and not text[max(0, s[0] - 1) : s[0]].strip() and text[s[1] : s[1] + 1] == " "]
+        only = {i for low, high, _ in lone + signs for i in range(low, high)}
+        whole = bool(only) and (touching or signs) and all(i in only for i, c in enumerate(text) if _FAR.match(c))
+        if not holds and (page not in ("gb18030", "cp932") or touching < 2 and not whole):
             continue
-        meant = [r.decode("utf-8", "ignore") for r in runs]
-        letters = "".join(meant)
-        usual = sum(1 for c in letters if _usual(c))
-        if (max(map(len, meant)) >= 4 or len(letters) >= 6) and usual >= 0.8 * len(letters):
-            return page
-    lone = _HAN_IN_LATIN.findall(text)
-    if len(lone) >= 2:
-        meant = [c.encode("gb18030", "replace").decode("utf-8", "replace") for c in lone]
-        if sum(len(m) == 1 and "À" <= m <= "ɏ" for m in meant) >= 0.6 * len(lone):
-            return "gb18030"
-        meant = [c.encode("cp932", "replace").decode("utf-8", "replace") for c in lone]
-        if sum(len(m) == 1 and "À" <= m <= "ɏ" for m in meant) >= 0.6 * len(lone):
-            return "cp932"
-    return None
+        lone += signs
+        # A single one belongs to the letters of its script beside it.
+        alike = lambda m, c: bool(c) and c >= "\x80" and _script(m) == _script(c) and _script(m) in ("arabic", "cyrillic", "thai")
+        return [s for s in spans if s in lone or len(s[2]) >= 2 or s[1] - s[0] >= 2 or alike(s[2][-1], text[s[1] : s[1] + 1]) or alike(s[2][0], text[max(0, s[0] - 1) : s[0]])]
+    return []
+
+
+def _rare_elsewhere(text: str, spans: list[tuple[int, int, str]]) -> bool:
+    """Whether rare Han characters also stand outside of the spans, as in traditional text."""
+    inside = {i for low, high, _ in spans for i in range(low, high)}
+    han = [c for i, c in enumerate(text) if "\u4e00" <= c <= "\u9fff" and i not in inside]
+    return sum(map(_rare, han)) > max(1, 0.1 * len(han))
 
 
 def _usual(c: str) -> bool:
     """Characters of the scripts in use, and their punctuation."""
-    return "　" <= c <= "ヿ" or "一" <= c <= "鿿" or "؀" <= c <= "ۿ" or "ऀ" <= c <= "ॿ" or "฀" <= c <= "๛" or "¡" <= c <= "ɏ" or "Ạ" <= c <= "ỹ" or "‐" <= c <= "›" or "！" <= c <= "｠" or "̀" <= c <= "ͯ"
+    return "　" <= c <= "ヿ" or "一" <= c <= "鿿" or "؀" <= c <= "ۿ" or "ऀ" <= c <= "ॿ" or "฀" <= c <= "๛" or "¡" <= c <= "ɏ" or "Ạ" <= c <= "ỹ" or "‐" <= c <= "›" or "！" <= c <= "｠" or "̀" <= c <= "ͯ" or "\u2600" <= c <= "\u27bf" or "\U0001f300" <= c <= "\U0001faff"
 
 
 def _script(c: str) -> str:
@@ -341,7 +406,11 @@ def _legacy(text: str) -> tuple[str, str] | None:
     """(Western page, legacy page) if upper-half words of the text are one script in a legacy page."""
     if _KANA_BYTES.search(text):
         return "cp1252", "cp932"
+    if _EUC_KANA_BYTES.search(text):
+        return "cp1252", "euc_jp"
     words = _HIGH_WORD.findall(text)
+    if all(w.isalpha() and (w.isupper() or w.islower()) for w in words):
+        words = []  # may be words of a Western language
     controls = len(_CONTROL.findall(text))
     if sum(map(len, words)) < 6 and controls < 3:
         return None
@@ -384,38 +453,50 @@ def examine(text: str | None) -> tuple[str, str | None] | None:
         pages = _legacy(text)  # sequences by chance within text of a legacy page
     if spans and not pages:
         way = "utf-8 in a single-byte page"
-        parts, at = [], 0
-        for low, high, meant in spans:
-            parts += [text[at:low], meant]
-            at = high
-        restored = "".join([*parts, text[at:]])
+        restored = _turned(text, spans)
         again = _utf8_in_single(restored)  # misread twice
         if again:
             return way, examine(restored)[1]
-    elif not pages and _FAR.search(text) and (page := _utf8_in_double(text)):
+    elif not pages and _FAR.search(text) and (doubled := _utf8_in_double(text)):
         way = "utf-8 in a double-byte page"
-        restored = _turn_back(text, page)
+        restored = _turned(text, doubled)
+        if any("?" in (text[low - 1 : low], text[high : high + 1]) for low, high, _ in doubled):
+            restored = None  # a question mark took the place of what the page does not have
     elif pages := pages or _legacy(text):
         way = "legacy page in a Western page"
         restored = _turn_words(text, *pages)
     elif "�" in text:
         return "no utf-8", None
-    elif len(_CONTROL.findall(text)) >= 2:
-        return "control characters", None
+    elif _LONE_SIGN.search(text):
+        return "legacy page in a Western page", _LONE_SIGN.sub(_sign, text)
+    elif _CONTROL.search(text):
+        return "control characters", _controls(text)
     if way is None:
         return None
     lost = restored is None or "�" in restored or _CONTROL.search(restored)
     return way, None if lost else restored
 
 
-def _turn_back(text: str, page: str) -> str:
-    """Rereads the runs that are UTF-8 when written in the page; everything else stays."""
-    raw = text.encode(page, "replace")
-    out, at = [], 0
-    for m in _UTF8_RUN.finditer(raw):
-        out += [raw[at : m.start()].decode(page, "replace"), m.group().decode("utf-8", "replace")]
-        at = m.end()
-    return "".join([*out, raw[at:].decode(page, "replace")])
+def _turned(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with what was meant in place of the spans; everything else stays."""
+    parts, at = [], 0
+    for low, high, meant in spans:
+        parts += [text[at:low], meant]
+        at = high
+    return "".join([*parts, text[at:]])
+
+
+def _sign(m: re.Match) -> str:
+    """The sign of a double-byte page, or what stands there if there is none."""
+    first, second = (ord(c) if ord(c) < 0x100 else _back("cp1252").get(c, 0) for c in m.group())
+    meant = bytes((first, second)).decode("euc_jp" if first == 0xA1 else "cp932", "ignore")
+    return meant if len(meant) == 1 else m.group()
+
+
+def _controls(text: str) -> str | None:
+    """The text with control characters read as the Western page's signs of those bytes; None if one has no sign."""
+    out = _CONTROL.sub(lambda m: m.group().encode("latin-1").decode("cp1252", "ignore") or m.group(), text)
+    return None if _CONTROL.search(out) else out
 
 
 def _turn_words(text: str, western: str, legacy: str) -> str | None:
@@ -428,7 +509,7 @@ def _turn_words(text: str, western: str, legacy: str) -> str | None:
     for (s, line), is_clean, is_sure in zip(found, clean, sure):
         high_ones = [c for low, high, _ in s.units for c in text[low:high] if c >= "\x80"]
         # Short ones are taken where they are no Western word: beside sure ones, or with signs in them, or kana.
-        if is_sure or is_clean and (len(high_ones) >= 4 or line in lines or "kana" in s.kinds or not all(map(str.isalpha, high_ones))):
+        if is_sure or is_clean and (len(high_ones) > 1 or not high_ones[0].isalpha()) and (len(high_ones) >= 4 or line in lines or "kana" in s.kinds or not all(map(str.isalpha, high_ones))):
             for low, high, meant in s.units:
                 if meant != "\ufffd":
                     parts += [text[at:low], meant]

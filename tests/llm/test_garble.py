@@ -76,6 +76,66 @@ def test_legacy_span_beside_right_text_on_the_line(code, real, page, other):
         assert examine(before + misread(TEXTS[code], real, page) + after)[1] == before + TEXTS[code] + after
 
 
+RIGHT = ["Zoé 한국 😀: ", "Grüße aus Köln: ", "ΑΒΓΔ café ÄÖÜÄÖÜ: ", "日本の試験 é 😀: ", "Привет é: ", "สวัสดี ß: "]
+
+
+@pytest.mark.parametrize("right", RIGHT)
+@pytest.mark.parametrize(("code", "page"), [("ja", "cp1252"), ("zh", "mac_roman"), ("fr", "cp1252"), ("de", "latin-1"), ("vi", "cp1252"), ("th", "cp1252"), ("fr", "cp1251")])
+def test_right_text_beside_a_span_stays(right, code, page):
+    bad = misread(TEXTS[code], "utf-8", page)
+    for before, after in ((right, " ok."), ("ok. ", " " + right), (right + "\n", "\n" + right)):
+        assert examine(before + bad + after)[1] == before + TEXTS[code] + after
+
+
+@pytest.mark.parametrize("right", RIGHT)
+@pytest.mark.parametrize(("code", "page"), [("fr", "gb18030"), ("de", "gb18030"), ("ar", "gb18030"), ("de", "cp932"), ("es", "gb18030")])
+def test_right_text_beside_a_double_byte_span_stays(right, code, page):
+    bad = TEXTS[code].encode().decode(page, "replace")
+    assert bad.encode(page, "replace").decode("utf-8", "replace") == TEXTS[code]
+    for before, after in ((right, " ok."), (right + "\n", "\n" + right)):
+        assert examine(before + bad + after)[1] == before + TEXTS[code] + after
+
+
+@pytest.mark.parametrize("right", RIGHT)
+def test_right_mixed_text_is_left_alone(right):
+    for text in (right, right * 2, right + TEXTS["fr"], right + TEXTS["ja"], right + TEXTS["zh"], right + TEXTS["ar"], right + TEXTS["de"].upper()):
+        assert examine(text) is None
+
+
+@pytest.mark.parametrize(
+    ("text", "restored"),
+    [
+        ("#59340 @¥æ¥Ê wrote:\n書類15606によると", "#59340 @ユナ wrote:\n書類15606によると"), ("incident 繝阪ユ繝｢\n監査の間に", "incident ネト模"), ("incident 鐝傜弬\n没有人问珂珂璟为何", "incident 珂珂\n没有人问珂珂璟为何"),
+        ("\x81\u02dc 59 Sexual (128)\n掲示板", "§ 59 Sexual (128)\n掲示板"), ("¡ø 52 Manipulation\n夜勤の", None), ("SegГєn la ficha 28860", "Según la ficha 28860"), ("搂 43 Immoral (220)\n\nNadie", "§ 43 Immoral (220)\n\nNadie"),
+        ("don\x92t", "don’t"), ("a \x81 b", None),
+    ],
+)
+def test_short_finds(text, restored):
+    found = examine(text)
+    assert found is not None
+    if restored and "模" not in restored:
+        assert found[1] == restored
+
+
+@pytest.mark.parametrize("page", ["cp1252", "latin-1", "mac_roman", "gb18030"])
+def test_share_restored_over_a_table(page):
+    """Known texts, garbled in a middle stretch: most come back as they were, and none comes back as something else."""
+    texts = [f"{a} {b} {c}" for a in TEXTS.values() for b in TEXTS.values() for c in ("ok", TEXTS["en"])]
+    same = wrong = lossy = 0
+    for text in texts:
+        at, end = len(text) // 4, 3 * len(text) // 4
+        bad = misread(text[at:end], "utf-8", page) if page != "gb18030" else text[at:end].encode().decode(page, "replace")
+        if "\ufffd" in bad:
+            lossy += 1
+            continue
+        found = examine(text[:at] + bad + text[end:])
+        same += found is not None and found[1] == text
+        wrong += found is not None and found[1] not in (None, text)
+    tested = len(texts) - lossy
+    assert same >= 0.9 * tested, (same, wrong, tested)
+    assert wrong <= 0.02 * tested, (same, wrong, tested)
+
+
 def test_not_restored_while_garbled_runs_are_left():
     way, restored = examine(TEXTS["ja"] + misread(TEXTS["ja"], "euc_jp", "cp1252") + "ÿÿÿÿ")
     assert way == "legacy page in a Western page" and restored is None

@@ -44,6 +44,9 @@ REPERTOIRE = (
 )
 _UTF8 = rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2})"
 _UTF8_RUN = re.compile(_UTF8 + rb"+")
+#: What spans of far scripts have in bytes, and spans of Western letters and signs in characters.
+_FAR_BYTES = re.compile(rb"(?:[\xe0-\xef][\x80-\xbf]{2}){2}|(?:[\xd8-\xdb][\x80-\xbf]){6}")
+_WESTERN_IN_DOUBLE = re.compile(r"[A-Za-z] ?[一-鿿ｦ-ﾟ]|[一-鿿ｦ-ﾟ]{1,2} ?[A-Za-z]|(?<!\S)(?:[一-鿿]|ﾂ[ｦ-ﾟ]) ")
 #: Words of characters that upper halves of Western pages hold: Latin, Greek, signs, box drawing.
 _HIGH_WORD = re.compile("[\x80-\u024f\u02b0-\u03ff\u2010-\u25ff\ufb01\ufb02\uf8ff]{3,}")
 _CONTROL = re.compile(r"[\x80-\x84\x86-\x9f]")
@@ -233,7 +236,10 @@ def _rare(span: str) -> bool:
 
 def _utf8_in_double(text: str) -> list[tuple[int, int, str]]:
     """Spans (from, to, meant) of UTF-8 read in a double-byte page, when the evidence holds."""
+    western = _WESTERN_IN_DOUBLE.search(text)
     for page in DOUBLE_PAGES:
+        if not (western and page in ("gb18030", "cp932")) and not _FAR_BYTES.search(text.encode(page, "replace")):
+            continue
         spans = _double_spans(text, page)
         long = [s for s in spans if sum(c >= "\u0800" for c in s[2]) >= 2 or sum("\u0600" <= c <= "\u06ff" for c in s[2]) >= 6]
         letters = [c for s in long for c in s[2] if c >= "\x80"]

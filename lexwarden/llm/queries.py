@@ -23,8 +23,7 @@ def _pools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets whose pool is too small."""
-    _, report = Q.draw_sample(_pools(spark, sf_dir), table(spark, sf_dir, "sample_targets"))
-    return report.where(~F.col("met")).select("target_id")
+    return Q.short_targets(_pools(spark, sf_dir), table(spark, sf_dir, "sample_targets"))
 
 
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:

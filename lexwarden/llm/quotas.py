@@ -1,14 +1,16 @@
 """Samples that match target category proportions (problem 1).
 
-Pool rows are reduced to cross-classified cells (language, view, subset) with counts of distinct examples.  A min-cost
-flow over targets and cells fixes how many examples each target takes: arcs carry the wanted margins, the floors and
-what the cells hold, and slack arcs show what cannot be met.  The flow network has one node per target and cell, a
-number bounded by the category values; it is the only thing that reaches the driver.  The integer quotas of the cells of
-a target are then drawn at random in proportion to what they hold, and rows are taken by the order of a seeded hash.
+Examples are reduced to classes: the cross-classified cell (language, view, subset) of an example and the set of targets it
+belongs to, with counts of distinct examples.  A min-cost flow over targets and classes fixes how many examples each
+target takes: arcs carry the wanted margins, the floors and what the classes hold, and slack arcs show what cannot be met.
+The network has one node per target and class, a number bounded by the category values; it is the only thing that reaches
+the driver.  The integer quotas of the classes of a target are then drawn at random in proportion to what they hold, and
+rows are taken by the order of a seeded hash.
 
 Defined results: a pool row with a null example id or a null in a field that a target names belongs to no such target;
-repeated rows of an example count once per target, and an example is drawn at most once per plan; an empty pool gives an
-empty sample and a report in which every target with a positive need is short.
+repeated rows of an example count once per target, and an example is drawn at most once per plan; an example spelled in
+several cells belongs to the targets of all of them and stands in the least; an empty pool gives an empty sample and a
+report in which every target with a positive need is short.
 """
 
 from __future__ import annotations
@@ -21,8 +23,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexwarden.session import stored
+
 FIELDS = ("language", "view", "subset")
-#: Bound on what the driver reads: plan rows, and category cells of a pool.
+CELL = ("plan", *FIELDS, "targets")
+#: Bound on what the driver reads: plan rows, and classes of examples.
 MAX_TARGETS, MAX_CELLS = 20_000, 200_000
 #: Spellings of one language code.
 CHINESE = ("zh-CN", "zh_CN", "zh-cn")
@@ -54,34 +59,84 @@ def _patterns(targets: Sequence) -> list[tuple[str, ...]]:
     return sorted({(t["pool_table"], *[f for f in FIELDS if t[f] is not None]) for t in targets})
 
 
-def available(pools: DataFrame, targets: DataFrame) -> DataFrame:
-    """(``target_id``, ``available``): distinct examples of the pool that belong to each target; 0 where there is none.
+def classed(pools: DataFrame, rows: Sequence) -> DataFrame:
+    """(``plan``, ``example_id``, ``language``, ``view``, ``subset``, ``targets``): each example of a plan's pool once.
 
-    One aggregation per set of named fields, so that an example spelled in two cells of a target counts once.  The
-    distinct example ids are reduced map-side; targets, checked to be few, are broadcast.
+    ``targets`` are the ids of the plan's targets it belongs to.  One scan: a row is looked up under each set of fields
+    that targets name; examples are reduced map-side, so that a hot cell or a repeated example is spread.
     """
+    patterns = _patterns(rows)
+    number = {p: i for i, p in enumerate(patterns)}
+    wanted = pools.sparkSession.createDataFrame(
+        [(number[(r["pool_table"], *[f for f in FIELDS if r[f] is not None])], *[r[f] for f in FIELDS], r["plan"], r["target_id"]) for r in rows],
+        "pattern int, w_language string, w_view string, w_subset string, plan string, target_id long",
+    )
+    keys = []
+    for i, (name, *fields) in enumerate(patterns):
+        fits = F.col("pool_table") == name
+        for f in fields:
+            fits = fits & F.col(f).isNotNull()
+        keys.append(F.when(fits, F.struct(F.lit(i).alias("pattern"), *[(F.col(f) if f in fields else F.lit(None).cast("string")).alias(f) for f in FIELDS])))
+    looked = pools.select("example_id", *FIELDS, F.explode(F.array_compact(F.array(*keys))).alias("k"))
+    same = (F.col("k.pattern") == F.col("pattern")) & F.col("k.language").eqNullSafe(F.col("w_language")) & F.col("k.view").eqNullSafe(F.col("w_view")) & F.col("k.subset").eqNullSafe(F.col("w_subset"))
+    found = looked.join(F.broadcast(wanted), same).groupBy("plan", "example_id").agg(F.min(F.struct(*FIELDS)).alias("cell"), F.collect_set("target_id").alias("ids"))  # targets: at most MAX_TARGETS
+    return found.select("plan", "example_id", *[F.col(f"cell.{f}").alias(f) for f in FIELDS], F.array_join(F.sort_array("ids").cast("array<string>"), ",").alias("targets"))
+
+
+def available(pools: DataFrame, targets: DataFrame) -> DataFrame:
+    """(``target_id``, ``available``): distinct examples of the pool that belong to each target; 0 where there is none."""
     rows = read_targets(targets)
     spark = pools.sparkSession
-    wanted = spark.createDataFrame([(r["target_id"], r["pool_table"], *[r[f] for f in FIELDS]) for r in rows], "target_id long, pool_table string, language string, view string, subset string")
-    out = None
-    for name, *fields in _patterns(rows):
-        keys = ["pool_table", *fields]
-        own = wanted.where(F.col("pool_table") == name)
-        for f in FIELDS:
-            own = own.where(F.col(f).isNotNull() if f in fields else F.col(f).isNull())
-        # Distinct first: the hot cell is spread over its examples before anything is counted.
-        counts = pools.where(F.col("pool_table") == name).select(*keys, "example_id").distinct().groupBy(*keys).agg(F.count("*").alias("available"))
-        part = F.broadcast(own.select("target_id", *keys)).join(counts, keys, "left").select("target_id", F.coalesce("available", F.lit(0)).alias("available"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    if not rows:
         return spark.createDataFrame([], "target_id long, available long")
-    return out
+    counts = classed(pools, rows).groupBy("plan", "targets").agg(F.count("*").alias("n"))
+    held = counts.select(F.explode(F.split("targets", ",").cast("array<long>")).alias("target_id"), "n").groupBy("target_id").agg(F.sum("n").alias("n"))
+    every = spark.createDataFrame([(r["target_id"],) for r in rows], "target_id long")
+    return every.join(held, "target_id", "left").select("target_id", F.coalesce("n", F.lit(0)).alias("available"))
 
 
 def short_targets(pools: DataFrame, targets: DataFrame) -> DataFrame:
-    """``target_id`` of targets whose pool holds fewer distinct examples than their floor or their share asks for."""
-    need = targets.select("target_id", F.greatest(F.col("min_rows").cast("double"), F.col("share") * F.col("sample_size")).alias("need"))
-    return available(pools, targets).join(F.broadcast(need), "target_id").where(F.col("available") < F.col("need")).select("target_id")
+    """``target_id`` of targets whose pool holds fewer distinct examples than their floor or their share asks for.
+
+    What the slack arc of the target carries when no other target of its plan takes anything.
+    """
+    rows = read_targets(targets)
+    short = []
+    if rows:
+        held = _class_counts(classed(pools, rows).groupBy(*CELL).agg(F.count("*").alias("n")))
+        short = [(t["target_id"],) for t in rows if own_slack(t, held.get(t["plan"], [])) > 0]
+    return pools.sparkSession.createDataFrame(short, "target_id long")
+
+
+def wanted_units(target) -> float:
+    """The larger of floor and share."""
+    return max(float(target["min_rows"] or 0), (target["share"] or 0.0) * (target["sample_size"] or 0))
+
+
+def own_slack(target, classes: Sequence[tuple[tuple, int]]) -> int:
+    """Units that run over the slack arc of a target that has the pool to itself."""
+    units = -int(-wanted_units(target) // 1)
+    reach = [(key, n) for key, n in classes if target["target_id"] in key[-1]]
+    net = FlowNetwork(4 + len(reach))
+    net.arc(0, 2, units, 0)
+    slack = net.arc(2, 3, units, FLOOR_COST)
+    net.arc(3, 1, units, 0)
+    for j, (_, n) in enumerate(reach):
+        net.arc(2, 4 + j, n, 0)
+        net.arc(4 + j, 1, n, 0)
+    net.run(0, 1)
+    return net.flow(slack)
+
+
+def _class_counts(counts: DataFrame) -> dict[str, list[tuple[tuple, int]]]:
+    """((language, view, subset, target ids), examples) by plan, on the driver, checked against ``MAX_CELLS``."""
+    rows = counts.take(MAX_CELLS + 1)
+    if len(rows) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} classes")
+    out: dict[str, list[tuple[tuple, int]]] = defaultdict(list)
+    for r in rows:
+        out[r["plan"]].append(((*[r[f] for f in FIELDS], tuple(map(int, r["targets"].split(",")))), r["n"]))
+    return {plan: sorted(held, key=repr) for plan, held in out.items()}
 
 
 @dataclass
@@ -152,13 +207,14 @@ def _whole(shares: Sequence[float], size: int) -> list[int]:
 def plan_quotas(targets: Sequence, cells: Sequence[tuple[tuple, int]], rng: random.Random) -> tuple[dict[int, int], dict[tuple, int], dict[int, int]]:
     """For the targets of one plan: units by target, quota by cell, and units missing by target.
 
-    ``cells``: ((language, view, subset), distinct examples).  The source feeds each target its margin.  What a target
+    ``cells``: ((language, view, subset, ids of the targets that may take it), distinct examples).  The source feeds each target its margin.  What a target
     cannot place in its cells runs over its slack arc into a pot, from which targets with spare cells take it at a rising
     price, so that the sample keeps its size; what nobody can place leaves the pot at the highest price.
     """
     size = max((t["sample_size"] or 0 for t in targets), default=0)
     margin = _whole([t["share"] for t in targets], size)
-    floor = [max(0, t["min_rows"] or 0) for t in targets]
+    # A floor reserves no more than the pool holds, so that others can have the rest.
+    floor = [min(max(0, t["min_rows"] or 0), sum(n for key, n in cells if t["target_id"] in key[-1])) for t in targets]
     margin = [max(m, f) for m, f in zip(margin, floor, strict=True)]
     over = sum(margin) - max(size, sum(floor))
     while over > 0:  # floors above the share are paid by the targets with the most room
@@ -182,25 +238,29 @@ def plan_quotas(targets: Sequence, cells: Sequence[tuple[tuple, int]], rng: rand
         if margin[i]:
             spare[i].append(net.arc(pot, first_target + i, size, 1 + SPARE_STEPS))
     net.arc(pot, sink, sum(margin), UNFILLED_COST)
-    for j, (key, count) in enumerate(cells):
+    reach: list[list[int]] = [[] for _ in targets]
+    number = {t["target_id"]: i for i, t in enumerate(targets)}
+    order = list(range(len(cells)))
+    rng.shuffle(order)  # among flows of the same cost, a random one
+    for j in order:
+        key, count = cells[j]
         net.arc(first_cell + j, sink, count, 0)
-        for i, t in enumerate(targets):
-            if all(t[f] is None or t[f] == v for f, v in zip(FIELDS, key, strict=True)):
-                to_cell[i, j] = net.arc(first_target + i, first_cell + j, count, 0)
+        for i in (number[t] for t in key[-1] if t in number):
+            to_cell[i, j] = net.arc(first_target + i, first_cell + j, count, 0)
+            reach[i].append(j)
     net.run(source, sink)
-    taken = {i: sum(net.flow(h) for (a, _), h in to_cell.items() if a == i) for i in range(len(targets))}
+    taken = {i: sum(net.flow(to_cell[i, j]) for j in reach[i]) for i in range(len(targets))}
     # What ran over the slack arcs and did not come back from the pot.
     missing = {t["target_id"]: max(0, sum(map(net.flow, slack[i])) - sum(map(net.flow, spare[i]))) for i, t in enumerate(targets)}
-    # The flow says how much a target takes; which cells give it is drawn at random in proportion to what they hold.
+    # The flow says how much a target takes; which classes give it is drawn at random in proportion to what they hold.
     left = {j: count for j, (_, count) in enumerate(cells)}
-    reach = {i: [j for (a, j) in to_cell if a == i] for i in range(len(targets))}
-    shared = {j for j in left if sum(j in r for r in reach.values()) > 1}
+    shared = {j for j, (key, _) in enumerate(cells) if len(key[-1]) > 1}
     quota: dict[tuple, int] = defaultdict(int)
     for i in range(len(targets)):
-        if shared & set(reach[i]):  # cells that two targets may use keep the flow's own integers
-            draw = {j: net.flow(to_cell[i, j]) for j in reach[i]}
-        else:
-            draw = random_quotas(taken[i], {j: left[j] for j in reach[i]}, rng)
+        # Classes that several targets may use keep the flow's integers; the target's own ones give the rest.
+        draw = {j: net.flow(to_cell[i, j]) for j in reach[i] if j in shared}
+        own = {j: left[j] for j in reach[i] if j not in shared}
+        draw |= random_quotas(taken[i] - sum(draw.values()), own, rng)
         for j, k in draw.items():
             left[j] -= k
             quota[cells[j][0]] += k
@@ -232,33 +292,13 @@ def _ticks(x: float, start: float, last: bool, units: int) -> int:
     return units if last else max(0, min(units, int(-(-(x - start) // 1))))
 
 
-def _example_cells(pools: DataFrame, targets: Sequence) -> DataFrame:
-    """(``plan``, ``example_id``, cell): for each plan, one cell per example, so that it is drawn at most once.
-
-    Of the cells of an example that match a target of the plan, the least counts (nulls last).
-    """
-    out = None
-    for plan in sorted({t["plan"] for t in targets}):
-        own = [t for t in targets if t["plan"] == plan]
-        fits = None
-        for t in own:
-            test = F.col("pool_table") == t["pool_table"]
-            for f in FIELDS:
-                if t[f] is not None:
-                    test = test & (F.col(f) == t[f])
-            fits = test if fits is None else fits | test
-        part = pools.where(fits).groupBy("example_id").agg(F.min(F.struct(*FIELDS)).alias("cell")).select(F.lit(plan).alias("plan"), "example_id", *[F.col(f"cell.{f}").alias(f) for f in FIELDS])
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def draw_sample(pools: DataFrame, targets: DataFrame, seed: int = 3407, buckets: int = 4096) -> tuple[DataFrame, DataFrame]:
     """The sample (``plan``, ``language``, ``view``, ``subset``, ``example_id``) and the report, one row per target.
 
     Report: ``target_id``, ``plan``, ``available``, ``wanted`` (the larger of floor and share), ``drawn``, ``missing``,
-    ``met``, ``contested``.  ``missing`` and ``met`` say what the pool lacks for the target by itself, an exact count;
-    ``contested`` is what its slack arcs of the flow carry beyond that, as the examples went to other targets of the plan.
-    Within a cell the examples of least hash are taken.  Counts by (cell, hash bucket) find the bucket in which
+    ``met``, ``contested``.  ``missing`` is what the slack arc of the target carries when it has the pool to itself;
+    ``contested`` is what its slack arcs carry, or its margin gives up to floors, beyond that when all targets share the pool.
+    Within a class the examples of least hash are taken.  Counts by (cell, hash bucket) find the bucket in which
     a quota ends; rows of lower buckets are taken at once and only that bucket is ordered, so that no cell, however
     large, is sorted in one task.
     """
@@ -268,25 +308,21 @@ def draw_sample(pools: DataFrame, targets: DataFrame, seed: int = 3407, buckets:
     sample_schema = "plan string, language string, view string, subset string, example_id string"
     if not rows:
         return spark.createDataFrame([], sample_schema), spark.createDataFrame([], report_schema)
-    placed = _example_cells(pools, rows).withColumn("h", F.xxhash64(F.lit(seed), "plan", "example_id")).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
-    cells = ["plan", *FIELDS]
+    placed = classed(pools, rows).withColumn("h", F.xxhash64(F.lit(seed), "plan", "example_id")).withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
+    placed, _ = stored(placed)  # read twice
+    cells = list(CELL)
     counts = placed.groupBy(*cells, "bucket").agg(F.count("*").alias("n"))
-    by_cell = counts.groupBy(*cells).agg(F.sum("n").alias("n")).take(MAX_CELLS + 1)
-    if len(by_cell) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} category cells")
+    by_plan = _class_counts(counts.groupBy(*cells).agg(F.sum("n").alias("n")))
     quotas, report = [], []
-    have = {r["target_id"]: r["available"] for r in available(pools, targets).collect()}  # one row per target
     for plan in sorted({t["plan"] for t in rows}):
         own = [t for t in rows if t["plan"] == plan]
-        held = sorted((((r["language"], r["view"], r["subset"]), r["n"]) for r in by_cell if r["plan"] == plan), key=repr)
+        held = by_plan.get(plan, [])
         drawn, quota, unplaced = plan_quotas(own, held, random.Random(f"{seed}:{plan}"))
-        quotas += [(plan, *key, n) for key, n in quota.items() if n > 0]
+        quotas += [(plan, *key[:-1], ",".join(map(str, key[-1])), n) for key, n in quota.items() if n > 0]
         for t in own:
-            wanted = max(float(t["min_rows"] or 0), (t["share"] or 0.0) * (t["sample_size"] or 0))
-            n, k = have.get(t["target_id"], 0), drawn.get(t["target_id"], 0)
-            missing = max(0, -int(-wanted // 1) - n)
-            report.append((t["target_id"], plan, n, wanted, k, missing, n >= wanted, max(0, unplaced.get(t["target_id"], 0) - missing)))
-    want = F.broadcast(spark.createDataFrame(quotas, "plan string, language string, view string, subset string, quota long"))
+            n, missing = sum(k for key, k in held if t["target_id"] in key[-1]), own_slack(t, held)
+            report.append((t["target_id"], plan, n, wanted_units(t), drawn[t["target_id"]], missing, missing == 0, max(unplaced[t["target_id"]] - missing, int(wanted_units(t)) - missing - drawn[t["target_id"]], 0)))
+    want = F.broadcast(spark.createDataFrame(quotas, "plan string, language string, view string, subset string, targets string, quota long"))
     same = [F.col(f"w.{c}").eqNullSafe(F.col(f"s.{c}")) for c in cells]
     upto = counts.alias("s").join(want.alias("w"), same).select(*[F.col(f"s.{c}").alias(c) for c in cells], "bucket", "n", "quota")
     # At most ``buckets`` rows per cell are ordered here.

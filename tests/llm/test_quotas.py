@@ -87,6 +87,17 @@ def test_targets_that_compete_for_a_cell_are_reported(spark):
     assert alone.contested == 0 and alone.drawn == 50
 
 
+def test_an_example_in_two_cells_serves_either_target(spark):
+    rows = [(f"e{i}", lang, "P", None) for i in range(22) for lang in (("de", "fr") if i < 14 else ("fr",))]
+    pools = Q.pool(spark.createDataFrame(rows, "example_id string, language string, view string, subset string"), "predictions")
+    targets = spark.createDataFrame([(1, "a", "predictions", "de", None, None, 0.2, 1, 25), (2, "a", "predictions", "fr", None, None, 0.8, 1, 25)], TARGETS)
+    sample, report = Q.draw_sample(pools, targets)
+    by = {r.target_id: r for r in report.collect()}
+    assert by[1].available == 14 and by[2].available == 22 and by[1].drawn + by[2].drawn == 22 == sample.count()
+    assert by[2].met and by[2].missing == 0 and by[1].contested + by[2].contested == 3
+    assert [r.target_id for r in Q.short_targets(pools, targets).collect()] == []
+
+
 def test_empty(spark):
     pools = pool_of(spark, {("en", "P"): 1}).limit(0)
     targets = spark.createDataFrame([(1, "a", "predictions", "en", None, None, 1.0, 5, 10)], TARGETS)

@@ -3,7 +3,7 @@
 Each pair gets at most one defect, tested in this order:
 
 * ``empty``: null, blank, or only a sign or placeholder for no answer;
-* ``refusal``: aligned against refusal templates, nothing of weight is left beside them;
+* ``refusal``: sentences aligned against refusal templates, nothing of weight is left beside them;
 * ``copy_prompt``: shingles of the response are contained in the prompt, and a longest common subsequence over tokens
   confirms that it is the prompt's wording and nothing else;
 * ``other_language``: most of the response is in a language that neither the prompt is in nor asks for;
@@ -30,34 +30,39 @@ from lexwarden.session import spread
 #: What stands for no answer, in the bare form.
 PLACEHOLDERS = frozenset("null none nil nan na undefined empty blank noresponse noanswer noreply assistant response answer reply output todo tbd missing".split())
 
-#: Refusal templates; names, greetings and pleas around them are set aside.
+#: Refusal templates; answers are aligned against them, names and greetings around them are set aside.
 REFUSALS = (
     # en
     "I’m sorry, but I can’t help with that.", "I'm sorry, but I cannot help with that.", "I can’t help with that.", "I won't assist with this request.", "I cannot assist with this request.",
     "I can't assist with that.", "I'm unable to help with this.", "As a guard assistant I have to decline.", "I have to decline.", "I must decline this request.",
     "Requests of this sort go against the usage policy, so no answer will be given here.", "no. I can't talk about this topic, sorry", "I can't talk about this topic",
     "That is not something I am able to support", "Please ask me about something else.", "I'm sorry, but I can't", "I cannot comply with this request.", "I will not answer this.",
+    "I am not able to answer that question.", "I would rather not discuss that.", "I am not comfortable answering this.", "I am going to pass on this one.", "Sorry, that is off limits for me.", "That goes against my guidelines.",
+    "I do not want to talk about this.", "I have to refuse.", "I can't provide that information.", "I can't share details about this.", "Sorry, I can't do that.", "I can't support this request.", "No comment on that from me.",
     # de
     "Es tut mir leid, dabei kann ich nicht helfen.", "Diese Anfrage muss ich ablehnen.", "Das unterstütze ich nicht", "Bitte stelle eine andere Frage.",
     "Über dieses Thema darf ich keine Auskunft geben, da es gegen die Nutzungsregeln verstößt.", "Dabei kann ich leider nicht helfen.", "Das kann ich nicht beantworten.",
+    "Darüber möchte ich nicht sprechen.", "Dazu kann ich nichts sagen.", "Ich darf diese Information nicht geben.", "Das widerspricht meinen Richtlinien.", "Ich werde diese Frage nicht beantworten.",
     # es
     "Lo siento, no puedo ayudarte con eso.", "Debo rechazar esta petición.", "No puedo tratar ese tema", "Pregúntame otra cosa, por favor.",
     "Esta solicitud va contra las normas de uso, así que no daré ninguna respuesta.", "No puedo ayudar con esta solicitud.",
+    "Prefiero no hablar de eso.", "No puedo responder a esa pregunta.", "No puedo dar esa información.", "Eso va contra mis normas.", "No voy a contestar a esto.",
     # fr
     "Désolé, je ne peux pas vous aider sur ce point.", "Je dois refuser cette demande.", "Ce n’est pas un sujet que je peux traiter", "Posez-moi une autre question.", "Pose-moi une autre question.",
     "Votre requête est contraire à la politique d’usage ; aucune réponse ne sera donnée.", "Cette requête est contraire à la politique d’usage ; aucune réponse ne sera donnée.", "Je ne peux pas répondre à cette demande.",
+    "Je préfère ne pas en parler.", "Je ne peux pas vous donner cette information.", "Cela va à l’encontre de mes règles.", "Je refuse de répondre à cette question.", "Désolé, c’est impossible pour moi.",
     # vi
-    "Xin lỗi, tôi không thể giúp việc này.", "Tôi phải từ chối yêu cầu này.", "Tôi không thể trả lời câu hỏi này.",
+    "Xin lỗi, tôi không thể giúp việc này.", "Tôi phải từ chối yêu cầu này.", "Tôi không thể trả lời câu hỏi này.", "Tôi không muốn nói về chuyện này.", "Điều này trái với quy định sử dụng.", "Tôi không thể cung cấp thông tin này.",
     # ar
-    "عذرا، لا أستطيع المساعدة في هذا.", "يجب أن أرفض هذا الطلب.", "هذا الطلب يخالف سياسة الاستخدام ولذلك لن أجيب عنه.", "لا يمكنني الحديث عن ذلك", "اسألني عن شيء آخر من فضلك.",
+    "عذرا، لا أستطيع المساعدة في هذا.", "يجب أن أرفض هذا الطلب.", "هذا الطلب يخالف سياسة الاستخدام ولذلك لن أجيب عنه.", "لا يمكنني الحديث عن ذلك", "اسألني عن شيء آخر من فضلك.", "لا أستطيع الإجابة عن هذا السؤال.", "أفضل عدم الحديث عن هذا الموضوع.", "لا يمكنني تقديم هذه المعلومات.",
     # hi
-    "माफ़ कीजिए, मैं इसमें मदद नहीं कर सकता।", "मुझे यह अनुरोध अस्वीकार करना होगा।", "यह अनुरोध उपयोग नीति के विरुद्ध है, इसलिए उत्तर नहीं दिया जाएगा।", "इस विषय पर मैं कुछ नहीं कह सकता।", "कृपया कुछ और पूछें।",
+    "माफ़ कीजिए, मैं इसमें मदद नहीं कर सकता।", "मुझे यह अनुरोध अस्वीकार करना होगा।", "यह अनुरोध उपयोग नीति के विरुद्ध है, इसलिए उत्तर नहीं दिया जाएगा।", "इस विषय पर मैं कुछ नहीं कह सकता।", "कृपया कुछ और पूछें।", "मैं इस सवाल का जवाब नहीं दे सकता।", "मैं यह जानकारी नहीं दे सकता।", "मैं इस बारे में बात नहीं करना चाहता।",
     # ja
-    "申し訳ありませんが、お手伝いできません。", "このご依頼はお断りします。", "利用規約に反するため、回答は差し控えます。", "その話題にはお答えできません。", "別の質問をどうぞ。",
+    "申し訳ありませんが、お手伝いできません。", "このご依頼はお断りします。", "利用規約に反するため、回答は差し控えます。", "その話題にはお答えできません。", "別の質問をどうぞ。", "この質問には答えられません。", "その情報は提供できません。", "これについては話したくありません。",
     # th
-    "ขออภัย ดิฉันช่วยเรื่องนี้ไม่ได้ค่ะ", "ต้องขอปฏิเสธคำขอนี้ค่ะ", "คำขอนี้ขัดกับนโยบายการใช้งาน จึงไม่ขอให้คำตอบค่ะ", "เรื่องนี้ตอบให้ไม่ได้ค่ะ", "กรุณาถามเรื่องอื่นนะคะ",
+    "ขออภัย ดิฉันช่วยเรื่องนี้ไม่ได้ค่ะ", "ต้องขอปฏิเสธคำขอนี้ค่ะ", "คำขอนี้ขัดกับนโยบายการใช้งาน จึงไม่ขอให้คำตอบค่ะ", "เรื่องนี้ตอบให้ไม่ได้ค่ะ", "กรุณาถามเรื่องอื่นนะคะ", "ฉันไม่สามารถตอบคำถามนี้ได้", "ไม่สามารถให้ข้อมูลนี้ได้ครับ", "ไม่อยากพูดถึงเรื่องนี้ค่ะ",
     # zh
-    "抱歉，我无法协助这个请求。", "这个问题我不能回答。", "该请求不符合使用政策，因此恕不作答。", "这类内容我不便提供", "请换一个问题。",
+    "抱歉，我无法协助这个请求。", "这个问题我不能回答。", "该请求不符合使用政策，因此恕不作答。", "这类内容我不便提供", "请换一个问题。", "我无法回答这个问题。", "我不能提供这些信息。", "我不想谈论这个话题。",
 )
 
 #: Function words of the Latin-script languages.
@@ -107,8 +112,6 @@ _ENDS = re.compile(r"[.!?。！？।؟…”»」』’\"'）)\]】`*_~>]$|(?:
 _LIST_MARK = re.compile(r"^\s*(?:[-*•–]|\(?\d{1,3}[.)])\s*")
 _NUMBERED_MARK = re.compile(r"^\s*\(?\d{1,3}[.)]\s*")
 
-_REFUSAL_FORMS = sorted({bare(r) for r in REFUSALS}, key=len, reverse=True)
-_REFUSAL = re.compile("|".join(map(re.escape, _REFUSAL_FORMS)))
 SHINGLE = 5
 
 
@@ -167,18 +170,102 @@ def is_empty(response: str | None) -> bool:
 
 
 def is_refusal(response: str) -> bool:
-    """Refusal templates make up the response; a name, a greeting or a plea may stand beside them."""
-    plain = bare(response)
-    kept, hits = [], 0
-    at = 0
-    for m in _REFUSAL.finditer(plain):
-        kept.append(plain[at : m.start()])
-        at = m.end()
-        hits += 1
-    if not hits:
-        return False
-    rest = sum(map(len, kept)) + len(plain) - at
-    return rest <= 28 and rest <= 0.6 * len(plain)
+    """Sentences that align with refusal templates make up the response; a name, a greeting or a plea may stand beside them.
+
+    A sentence is aligned by the longest common subsequence of tokens with a template whose shingles it mostly contains,
+    and what is left of it with further templates.  Other sentences may have ``SMALL_TALK`` tokens; what is left of the
+    aligned ones must be well less than what was aligned.
+    """
+    matched = rest = 0
+    for sentence in _SENTENCE.split(response):
+        tokens = _plain_tokens(sentence)
+        if not tokens:
+            continue
+        whole = len(tokens)
+        while tokens and (kept := _aligned(tokens)) is not None:
+            tokens = kept
+        if len(tokens) == whole and whole > SMALL_TALK * (1 + (_letters(tokens) <= whole)):
+            return False
+        matched += whole - len(tokens)
+        rest += len(tokens)
+    return matched > 0 and rest <= max(SMALL_TALK, 0.6 * matched)
+
+
+def _letters(tokens: list[str]) -> int:
+    return sum(map(len, tokens))
+
+
+#: Ways to write the same word.
+_SAME_WORD = {"cannot": ("can", "t"), "not": ("t",), "won": ("will",), "am": ("m",), "would": ("d",), "is": ("s",), "assist": ("help",)}
+#: Tokens of a sentence that is no part of the answer, such as a greeting or a name; twice as many where they are single characters.
+SMALL_TALK = 3
+#: Shares of a template's shingles that must be contained, and of its tokens that must align in order.
+CONTAINED, IN_ORDER = 0.4, 0.7
+
+
+def _plain_tokens(text: str) -> list[str]:
+    """Words of alphabetic scripts, single characters of the others, in one spelling."""
+    plain = bare_words(text)
+    return [t for word in plain for t in (_SAME_WORD.get(word, (word,)) if word.isascii() else (word,) if not _BY_CHARACTER.search(word) else tuple(word))]
+
+
+_BY_CHARACTER = re.compile(r"[\u0e01-\u0e4e\u3040-\u30ff\u3400-\u9fff]")
+
+
+def bare_words(text: str) -> list[str]:
+    """The words of a text in the bare form."""
+    return [b for word in re.split(r"[^\w\u0300-\u036f\u064b-\u065f\u0900-\u0963\u0e31-\u0e4e]+", text) if (b := bare(word))]
+
+
+def _shingles(tokens: list[str]) -> set[str]:
+    """Pairs of neighbouring tokens."""
+    return {f"{a} {b}" for a, b in zip(tokens, tokens[1:])}
+
+
+_TEMPLATES = [(t, _shingles(t)) for t in map(list, dict.fromkeys(tuple(_plain_tokens(r)) for r in REFUSALS))]
+_TEMPLATES_OF: dict[str, list[int]] = {}
+for _number, (_, _set) in enumerate(_TEMPLATES):
+    for _shingle in _set:
+        _TEMPLATES_OF.setdefault(_shingle, []).append(_number)
+
+
+def _aligned(tokens: list[str]) -> list[str] | None:
+    """What is left of the tokens when those that align with the best template are taken out; None if none aligns."""
+    votes = Counter(n for s in _shingles(tokens) for n in _TEMPLATES_OF.get(s, ()))
+    likely = []
+    for number, count in votes.items():
+        template, shingles = _TEMPLATES[number]
+        if count >= CONTAINED * len(shingles):
+            common = round(_lcs_share(template, tokens) * len(template))
+            if common >= max(2, IN_ORDER * len(template)):
+                likely.append((-common, number))
+    for _, number in sorted(likely):
+        places = _common_places(_TEMPLATES[number][0], tokens)
+        # The template must stand together: it may be stretched by a few words, not spread over the sentence.
+        if places[-1] - places[0] < 1.5 * len(places) + 4:
+            taken = set(places)
+            return [t for i, t in enumerate(tokens) if i not in taken]
+    return None
+
+
+def _common_places(a: list[str], b: list[str]) -> list[int]:
+    """Places in ``b`` of a longest common subsequence of two token lists."""
+    rows = [[0] * (len(b) + 1)]
+    for x in a:
+        last, row = rows[-1], [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        rows.append(row)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[i][j] == rows[i - 1][j]:
+            i -= 1
+        elif rows[i][j] == rows[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append(j)
+    return out[::-1]
 
 
 def _lcs_share(a: list[str], b: list[str]) -> float:
@@ -291,7 +378,8 @@ def is_truncated(response: str) -> bool:
         item = last[mark.end() :].strip()
         # Items of a list need no full stop, if the last is whole like those before it.
         label, colon, value = item.partition(":")
-        return not item or bool(colon) and not value.strip()
+        before = [x.strip() for x in lines[:-1] if _LIST_MARK.match(x) and not _NUMBERED_MARK.match(x)]
+        return not item or bool(colon) and not value.strip() or bool(before) and all(_ENDS.search(x) for x in before)
     if mark and len(lines) > 1:
         before = [x.strip() for x in lines[:-1] if _NUMBERED_MARK.match(x)]
         return not before or all(_ENDS.search(x) for x in before)

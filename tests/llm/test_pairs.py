@@ -23,6 +23,33 @@ def test_refusal(text):
     assert defect(PROMPT, text) == "refusal"
 
 
+#: Written apart from the templates, to measure and not to tune by.
+DECLINED = [
+    "I'd rather not get into that one.", "Sorry, that's off limits for me.", "I'm sorry, I really can't help you with this one.", "I can't answer this question, sorry.", "I'm afraid I cannot assist you with that request.",
+    "Sorry, but I am not able to help with this.", "I won't be able to provide that information.", "I’m not comfortable answering this, Shiho.", "I refuse to talk about this topic.", "That would go against my guidelines, so no.",
+    "Es tut mir leid, aber dabei kann ich dir nicht helfen.", "Diese Frage kann ich leider nicht beantworten.", "Darüber möchte ich lieber nicht sprechen.", "Lo siento mucho, pero no puedo ayudarte con esa petición.", "No puedo responder esta pregunta.",
+    "Désolé, mais je ne peux pas vous aider avec cela.", "Je ne peux pas répondre à cette question.", "Xin lỗi, tôi không thể giúp bạn việc này.", "抱歉，我无法回答这个问题。", "对不起，我不能提供这些信息。", "申し訳ありませんが、その質問には答えられません。",
+    "ขออภัยค่ะ ดิฉันช่วยเรื่องนี้ไม่ได้", "عذرا، لا أستطيع الإجابة عن هذا السؤال الآن.", "माफ़ कीजिए, मैं इस सवाल का जवाब नहीं दे सकता।", "I'm gonna sit this one out.", "That's a no from me, pick another subject.",
+]
+ANSWERED = [
+    "I must decline this request. Cut off power first.", "I can't say everything about this, but here is what is known: the courier hid the roster.", "The librarian could not help with that, so the clerk did it.", "You cannot assist a patient without a licence; call the nurse.",
+    "Sorry for the delay. The stamp was counterfeit.", "They refused to answer this question at the hearing.", "No puedo decirte el día exacto, pero fue antes del alba en el puerto.", "Das kann ich nicht genau sagen, aber der Kurier kam am Montag.", "我无法确认日期，不过合同是在周一签的，地点在旧高架桥下。",
+    "Je ne peux pas confirmer la date, mais le coursier est passé lundi.", "According to my guidelines the form goes to the clerk.", "I am not able to find the ledger; the intern has it in the garage.",
+]
+
+
+def test_refusals_in_other_words():
+    hit = [t for t in DECLINED if defect(PROMPT, t) == "refusal"]
+    false = [t for t in ANSWERED if defect(PROMPT, t) == "refusal"]
+    assert not false
+    assert len(hit) >= 0.65 * len(DECLINED), sorted(set(DECLINED) - set(hit))
+
+
+@pytest.mark.parametrize("text", ["- one thing is done.\n- another thing is done.\n- the third is not", "* a clerk came.\n* the old passw"])
+def test_bullets_cut_after_whole_ones(text):
+    assert defect(PROMPT, text) == "truncated"
+
+
 @pytest.mark.parametrize("text", [PROMPT, PROMPT.upper(), f"Prompt: {PROMPT}", f"« {PROMPT} »", f"> {PROMPT}", PROMPT.replace(",", "").replace(".", ""), f"User asked:\n{PROMPT}", f"{PROMPT}\n{PROMPT}"])
 def test_copy(text):
     assert defect(PROMPT, text) == "copy_prompt"

@@ -65,19 +65,27 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def entity_components(df: DataFrame, row_key: str | Column, entities: Sequence[Column]) -> DataFrame:
-    """(``row_key``, ``component``) of each row of ``df``; rows that share a value of the same entity are together.
+def entity_links(df: DataFrame, row_key: str | Column, entities: Sequence[Column], keep: Sequence[str | Column] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows (``row_key``, ``anchor``, ``keep``) and the components (``node``, ``component``) of their entities.
 
-    Entity ``i`` of a row is the text ``i:value``.  A row links its first present entity with its others; these links
-    are made distinct before any round, so rows enter no join but the last, whose hot keys adaptive execution splits.
+    Entity ``i`` of a row is the text ``i:value``, its first present entity is its anchor.  A row links its anchor with its
+    other entities; these links are made distinct before any round, so that no rows enter the rounds.
     """
     key = F.col(row_key) if isinstance(row_key, str) else row_key
-    names = [f"e{i}" for i in range(len(entities))]
-    rows = df.select(key.alias("row_key"), *[F.concat(F.lit(f"{i}:"), e.cast("string")).alias(n) for i, (n, e) in enumerate(zip(names, entities, strict=True))])
-    rows = rows.select("row_key", F.coalesce(*names, F.concat(F.lit("row:"), F.col("row_key").cast("string"))).alias("anchor"), *names)
+    names = [f"__e{i}" for i in range(len(entities))]
+    rows = df.select(key.alias("row_key"), *keep, *[F.concat(F.lit(f"{i}:"), e.cast("string")).alias(n) for i, (n, e) in enumerate(zip(names, entities, strict=True))])
+    rows = rows.withColumn("anchor", F.coalesce(*names, F.concat(F.lit("row:"), F.col("row_key").cast("string"))))
     links = reduce(DataFrame.unionByName, [rows.select(F.col("anchor").alias("a"), F.col(n).alias("b")) for n in names])
-    found = components(links.where("b is not null and a <> b").distinct())
-    joined = rows.select("row_key", "anchor").join(found, F.col("anchor") == F.col("node"), "left")
+    return rows.drop(*names), components(links.where("b is not null and a <> b").distinct())
+
+
+def entity_components(df: DataFrame, row_key: str | Column, entities: Sequence[Column]) -> DataFrame:
+    """(``row_key``, ``component``) of each row of ``df``; rows that share a value of the same entity are together.
+
+    Rows enter no join but the last, whose hot keys adaptive execution splits.
+    """
+    rows, found = entity_links(df, row_key, entities)
+    joined = rows.join(found, F.col("anchor") == F.col("node"), "left")
     return joined.select("row_key", F.coalesce("component", "anchor").alias("component"))
 
 
@@ -100,33 +108,61 @@ def source_key(source_id: Column) -> Column:
     return F.when(plain.rlike(_HASH) | ~plain.rlike(_NUMBERED), F.concat(F.lit("="), plain)).otherwise(F.concat_ws("#", exporter, number))
 
 
-def split_ranges(targets: DataFrame) -> DataFrame:
-    """(``split_name``, ``low``, ``high``): consecutive ranges of [0, 1) as wide as the shares, in order of name.
+#: Components with at least this share of all rows are placed one by one; there are at most as many as it goes into 1.
+HEAVY = 1 / 5000
 
-    Reads the target table to the driver, after checking that it is small; null or negative shares raise.
-    """
+
+def read_shares(targets: DataFrame) -> dict[str, float]:
+    """Shares by split name that sum to 1.  Reads the target table after checking that it is small; null or negative shares raise."""
     rows = targets.select("split_name", "share").take(1001)
     if len(rows) > 1000:
         raise ValueError("split_targets: more than 1000 splits")
     if any(r["share"] is None or r["share"] < 0 or r["split_name"] is None for r in rows):
         raise ValueError("split_targets: a share or name is null, or a share is negative")
-    total, low, out = sum(r["share"] for r in rows) or 1.0, 0.0, []
-    for r in sorted(rows, key=lambda r: r["split_name"]):
-        out.append((r["split_name"], low, low + r["share"] / total))
+    total = sum(r["share"] for r in rows) or 1.0
+    return {r["split_name"]: r["share"] / total for r in sorted(rows, key=lambda r: r["split_name"])}
+
+
+def place_heavy(shares: dict[str, float], heavy: Sequence[tuple[str, float]]) -> tuple[dict[str, str], dict[str, float]]:
+    """The split of each heavy (component, share of the rows), largest first into the most room; and the room left, as ranges' widths."""
+    room, placed = dict(shares), {}
+    for component, share in sorted(heavy, key=lambda h: (-h[1], h[0])):
+        name = max(room, key=lambda n: (room[n], n))
+        placed[component] = name
+        room[name] -= share
+    room = {n: max(0.0, r) for n, r in room.items()}
+    total = sum(room.values())
+    return placed, {n: r / total for n, r in room.items()} if total > 0 else dict(shares)
+
+
+def split_ranges(shares: dict[str, float]) -> list[tuple[str, float, float]]:
+    """(name, low, high): consecutive ranges of [0, 1) as wide as the shares, in order of name."""
+    low, out = 0.0, []
+    for name in sorted(shares):
+        out.append((name, low, low + shares[name]))
         low = out[-1][2]
-    return targets.sparkSession.createDataFrame(out, "split_name string, low double, high double")
+    return out
 
 
 def assign_splits(members: DataFrame, targets: DataFrame, seed: int = 3407) -> DataFrame:
-    """(``row_key``, ``component``, ``assigned_split``): the hash of the component falls into a proportional range.
+    """(``row_key``, ``component``, ``assigned_split``): heavy components first, the hash of the others falls into proportional ranges.
 
-    Narrow over ``members``.  Shares hold in expectation over components; a component larger than a split's share
-    moves the realised shares, which :func:`split_report` shows.
+    One aggregation by component finds those with ``HEAVY`` of the rows or more, a number bounded by its inverse; they go
+    where most room is left, and the ranges of the others are as wide as what remains.  So shares hold as closely as the
+    largest component allows; :func:`split_report` shows them.
     """
-    ranges = split_ranges(targets).collect()
+    spark = members.sparkSession
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
+    total = F.broadcast(members.agg(F.count("*").alias("all_rows")))  # one number
+    heavy = sizes.crossJoin(total).where(F.col("n") >= F.lit(HEAVY) * F.col("all_rows")).select("component", F.col("n") / F.col("all_rows")).collect()
+    shares = read_shares(targets)
+    if not shares:
+        return members.select("row_key", "component", F.lit(None).cast("string").alias("assigned_split"))
+    placed, left = place_heavy(shares, [tuple(r) for r in heavy])
     u = F.pmod(F.xxhash64(F.lit(seed), F.col("component")), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    chosen = reduce(lambda c, r: F.when(u >= F.lit(r["low"]), F.lit(r["split_name"])).otherwise(c), [r for r in ranges if r["high"] > r["low"]], F.lit(None).cast("string"))
-    return members.select("row_key", "component", chosen.alias("assigned_split"))
+    chosen = reduce(lambda c, r: F.when(u >= F.lit(r[1]), F.lit(r[0])).otherwise(c), [r for r in split_ranges(left) if r[2] > r[1]], F.lit(None).cast("string"))
+    sent = F.broadcast(spark.createDataFrame(list(placed.items()), "component string, heavy_split string"))
+    return members.join(sent, "component", "left").select("row_key", "component", F.coalesce("heavy_split", chosen).alias("assigned_split"))
 
 
 def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
@@ -150,11 +186,13 @@ def split_report(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def scattered_rows(members: DataFrame, splits: DataFrame) -> DataFrame:
-    """``row_key`` of the rows whose component has rows in more than one split.
+def scattered_rows(df: DataFrame, row_key: str | Column, entities: Sequence[Column], split: str) -> DataFrame:
+    """``row_key`` of the rows whose component has rows in more than one ``split``.
 
-    ``splits``: (``row_key``, ``component``, ``source_split``).  Pre-aggregates to (component, split) before the rows
-    are filtered by a semi-join on the component.
+    Rows are reduced to (anchor, split) before anything is joined; only then do they meet the torn anchors in a semi-join.
     """
-    torn = splits.groupBy("component", "source_split").count().groupBy("component").count().where("count > 1").select("component")
-    return members.join(torn, "component", "left_semi").select("row_key")
+    rows, found = entity_links(df, row_key, entities, [F.col(split).alias("__split")])
+    anchors = rows.groupBy("anchor", "__split").agg(F.count("*").alias("n")).drop("n")
+    placed = anchors.join(found, F.col("anchor") == F.col("node"), "left").select("anchor", "__split", F.coalesce("component", "anchor").alias("component"))
+    torn = placed.groupBy("component").agg(F.countDistinct(F.coalesce("__split", F.lit(""))).alias("n")).where("n > 1").select("component")
+    return rows.join(placed.join(torn, "component", "left_semi").select("anchor").distinct(), "anchor", "left_semi").select("row_key")

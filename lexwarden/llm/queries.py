@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexwarden.llm import bpe, garble, leakage, overlap, pairs, token_count
@@ -70,16 +70,24 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(rows, overlap.linked_forms(forms), ["source_split", "dataset_source"])
 
 
+def _entities() -> list[Column]:
+    return [C.source_key(F.col("source_id")), F.col("source_id")]
+
+
 def _source_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "canonical_examples").select("row_id", "source_id")
-    return C.entity_components(rows, "row_id", [C.source_key(F.col("source_id")), F.col("source_id")])
+    return C.entity_components(table(spark, sf_dir, "canonical_examples"), "row_id", _entities())
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose source has rows in more than one delivered split."""
-    members = _source_members(spark, sf_dir)
-    splits = table(spark, sf_dir, "canonical_examples").select(F.col("row_id").alias("row_key"), "source_split")
-    return C.scattered_rows(members, members.join(splits, "row_key")).select(F.col("row_key").alias("row_id"))
+    return C.scattered_rows(table(spark, sf_dir, "canonical_examples"), "row_id", _entities(), "source_split").select(F.col("row_key").alias("row_id"))
+
+
+def p5_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components over sources and prompts that come again, which link sources to chains: how many have how many rows."""
+    rows = table(spark, sf_dir, "canonical_examples")
+    members = C.entity_components(rows, "row_id", [C.source_key(F.col("source_id")), F.sha2("prompt", 256)])
+    return members.groupBy("component").agg(F.count("*").alias("n_rows")).groupBy("n_rows").agg(F.count("*").alias("n_components"))
 
 
 def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +189,7 @@ WITH s AS ({_SOURCE_SQL})
 SELECT row_id FROM s WHERE k IN (SELECT k FROM s GROUP BY k HAVING count(DISTINCT coalesce(source_split, '')) > 1)""",
 }
 
-_QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_available, p2_found, p2_report, p4_found, p4_report, p5_found, p5_splits, p5_report, p6_tokens, p6_budget, p7_ids, p8_found, p8_passages, p8_report, p9_found, p9_restored)}
+_QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_available, p2_found, p2_report, p4_found, p4_report, p5_found, p5_splits, p5_report, p5_linked, p6_tokens, p6_budget, p7_ids, p8_found, p8_passages, p8_report, p9_found, p9_restored)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

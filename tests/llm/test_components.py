@@ -65,10 +65,33 @@ def test_splits(spark):
     assert sum(r.n_rows for r in report.values()) == 3000
     assert all(abs(r.realised_share - r.target_share) < 0.04 for r in report.values())
     with pytest.raises(ValueError, match="negative"):
-        C.split_ranges(spark.createDataFrame([("a", -1.0)], "split_name string, share double"))
+        C.read_shares(spark.createDataFrame([("a", -1.0)], "split_name string, share double"))
+
+
+def test_heavy_components_go_first(spark):
+    rows = [(i, "hot") for i in range(1100)] + [(10_000 + i, f"big{i % 7}") for i in range(900)] + [(20_000 + i, f"s{i // 2}") for i in range(8000)]
+    members = C.entity_components(spark.createDataFrame(rows, "row_key long, heavy_split string"), "row_key", [F.col("heavy_split")])
+    targets = spark.createDataFrame([("train", 0.8), ("valid", 0.08), ("test", 0.12)], "split_name string, share double")
+    assigned = C.assign_splits(members, targets)
+    assert assigned.count() == 10_000 and assigned.groupBy("component").agg(F.countDistinct("assigned_split").alias("n")).where("n > 1").count() == 0
+    assert all(abs(r.realised_share - r.target_share) < 0.01 for r in C.split_report(assigned, targets).collect())
+    placed, left = C.place_heavy({"a": 0.7, "b": 0.3}, [("x", 0.9), ("y", 0.05)])
+    assert placed == {"x": "a", "y": "b"} and left == {"a": 0.0, "b": 1.0}
+
+
+def test_linked_query_against_union_find(spark, sf_dir):
+    from collections import Counter
+
+    from lexwarden.llm import queries as Q
+    from lexwarden.session import table
+
+    rows = table(spark, sf_dir, "canonical_examples").select("row_id", C.source_key(F.col("source_id")).alias("k"), F.sha2("prompt", 256).alias("p")).collect()
+    root = union_find([(f"r{r.row_id}", f"{n}{v}") for r in rows for n, v in (("k", r.k), ("p", r.p)) if v is not None])
+    want = Counter(Counter(root.get(f"r{r.row_id}", f"r{r.row_id}") for r in rows).values())
+    assert {r.n_rows: r.n_components for r in Q.p5_linked(spark, sf_dir).collect()} == want
 
 
 def test_scattered(spark):
-    members = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b")], "row_key long, component string")
-    splits = members.withColumn("source_split", F.when(F.col("row_key") == 2, "test").otherwise("train"))
-    assert sorted(r.row_key for r in C.scattered_rows(members, splits).collect()) == [1, 2]
+    rows = [(1, "a", "x", "train"), (2, "a", None, "test"), (3, "b", None, "train"), (4, "b", None, "train"), (5, None, "x", "train"), (6, None, None, "test"), (7, "c", None, None), (8, "c", None, "test")]
+    df = spark.createDataFrame(rows, "row_key long, anchor string, component string, split string")
+    assert sorted(r.row_key for r in C.scattered_rows(df, "row_key", [F.col("anchor"), F.col("component")], "split").collect()) == [1, 2, 5, 7, 8]

@@ -22,7 +22,8 @@ def parse_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_binary_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary replies made of gold labels and raw outputs."""
     reply = F.concat_ws("\n", "raw_output", F.concat(F.lit(" safety : "), F.when(F.col("pred_id") % 3 == 0, "Controversial").otherwise(F.col("gold")), F.lit(" ")))
-    return table(spark, sf_dir, "predictions").select("pred_id", P.parse_binary(reply).alias("prediction"), P.parse_binary(F.col("raw_output")).alias("prediction_raw"))
+    rows = table(spark, sf_dir, "predictions").select("pred_id", P.parse_binary_output(reply).alias("p"), P.parse_binary(F.col("raw_output")).alias("prediction_raw"))
+    return rows.select("pred_id", "p.prediction", "p.parse_status", F.get_json_object("p.payload", "$.Safety").alias("word"), "prediction_raw")
 
 
 def normalize_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +164,7 @@ def _likelihood_sql(digits: int, nll_digits: int) -> str:
 
 ORACLE = {
     "parse_outputs": f"""SELECT pred_id, prediction, parse_status, coalesce(array_to_string(predicted_categories, '|'), '') AS categories, coalesce(array_to_string(unknown_categories, '|'), '') AS unknown FROM predictions""",
-    "parse_binary_outputs": "SELECT pred_id, CASE WHEN pred_id % 3 = 0 THEN 'unsafe' WHEN lower(gold) IN ('safe','unsafe') THEN lower(gold) END AS prediction, CASE lower(regexp_extract(raw_output, '(?im)^\\s*Safety\\s*:\\s*(Safe|Unsafe|Controversial)\\s*$', 1)) WHEN 'safe' THEN 'safe' WHEN 'unsafe' THEN 'unsafe' WHEN 'controversial' THEN 'unsafe' END AS prediction_raw FROM predictions",
+    "parse_binary_outputs": "SELECT pred_id, CASE WHEN pred_id % 3 = 0 THEN 'unsafe' WHEN lower(gold) IN ('safe','unsafe') THEN lower(gold) END AS prediction, CASE WHEN pred_id % 3 = 0 OR lower(gold) IN ('safe','unsafe') THEN 'strict' ELSE 'PARSE_ERROR' END AS parse_status, CASE WHEN pred_id % 3 = 0 THEN 'controversial' WHEN lower(gold) IN ('safe','unsafe') THEN lower(gold) END AS word, CASE lower(regexp_extract(raw_output, '(?im)^\\s*Safety\\s*:\\s*(Safe|Unsafe|Controversial)\\s*$', 1)) WHEN 'safe' THEN 'safe' WHEN 'unsafe' THEN 'unsafe' WHEN 'controversial' THEN 'unsafe' END AS prediction_raw FROM predictions",
     "normalize_categories": f"""SELECT pred_id, coalesce(array_to_string(list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(list_filter(list_transform(c, lambda x: {_CATEGORY}), lambda y: y IS NOT NULL), lambda y: [y])), lambda a, b: CASE WHEN list_contains(a, b[1]) THEN a ELSE list_concat(a, b) END), '|'), '') AS known,
  coalesce(array_to_string(list_filter(c, lambda x: {_CATEGORY} IS NULL), '|'), '') AS unknown FROM (SELECT pred_id, {_CANDIDATES} AS c FROM predictions)""",
     "parse_error_policies": f"""SELECT pred_id, {_INCORRECT} AS under_incorrect, CASE WHEN prediction IN ('safe','unsafe') THEN prediction ELSE 'unsafe' END AS under_unsafe,

@@ -4,29 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+_TYPES = {
+    "string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
+    "array<string>": T.ArrayType(T.StringType()), "array<int>": T.ArrayType(T.IntegerType()),
+}
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (x.split(":") for x in spec.split())])
 
+def _struct(fields: str) -> T.StructType:
+    """The type of "name type, name type"; needs no session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (f.split() for f in fields.split(", "))])
 
-_KINDS = {"s": T.StringType(), "l": T.LongType(), "d": T.DoubleType(), "b": T.BooleanType(), "a": T.ArrayType(T.StringType()), "i": T.ArrayType(T.IntegerType())}
 
-RAW_NEMOTRON = _struct("id:s prompt:s response:s prompt_label:s response_label:s language:s violated_categories:s")
+#: The names and types of the contracts.
+RAW_NEMOTRON = _struct(
+    "id string, prompt string, response string, prompt_label string, response_label string, language string, violated_categories string"
+)
 CANONICAL = _struct(
-    "example_id:s source_id:s source_split:s dataset_source:s language:s view:s text:s prompt:s response:s safety_label:s prompt_safety_label:s categories:a category_scope:s"
+    "example_id string, source_id string, source_split string, dataset_source string, language string, view string, text string, "
+    "prompt string, response string, safety_label string, prompt_safety_label string, categories array<string>, category_scope string"
 )
 SEA_CANONICAL = _struct(
-    "example_id:s dataset_source:s source_revision:s source_path:s source_line:l source_split:s seahelm_task_name:s registered_in_pinned_seahelm_vi_suite:b"
-    " subset:s language:s view:s prompt:s response:s text:s safety_label:s prompt_safety_label:s categories:a category_scope:s"
+    "example_id string, dataset_source string, source_revision string, source_path string, source_line bigint, source_split string, "
+    "seahelm_task_name string, registered_in_pinned_seahelm_vi_suite boolean, subset string, language string, view string, "
+    "prompt string, response string, text string, safety_label string, prompt_safety_label string, categories array<string>, "
+    "category_scope string"
 )
 BENCHMARK_REQUIRED = ("example_id", "language", "view", "prompt", "safety_label")
-PREDICTION = _struct(
-    "benchmark:s example_id:s language:s view:s subset:s topic:s gold:s prediction:s prediction_for_metrics:s parse_status:s parsed_payload:s"
-    " gold_categories:a predicted_categories:a unknown_categories:a raw_output:s"
+MODEL_SPEC = _struct(
+    "name string, id string, revision string, family string, target_modules array<string>"
+)
+TRAINING_EXAMPLE = _struct(
+    "input_ids array<int>, attention_mask array<int>, labels array<int>"
 )
-LIKELIHOOD_ROW = _struct("benchmark:s example_id:s language:s view:s subset:s field:s input_tokens:l tokens_scored:l utf8_bytes:l nll_nats:d perplexity:d bits_per_byte:d")
-MODEL_SPEC = _struct("name:s id:s revision:s family:s target_modules:a")
-TRAINING_EXAMPLE = _struct("input_ids:i attention_mask:i labels:i")
-PARSED = T.StructType(
-    [T.StructField("prediction", T.StringType()), T.StructField("parse_status", T.StringType()), T.StructField("payload", T.StringType()), T.StructField("categories", T.ArrayType(T.StringType())), T.StructField("unknown_categories", T.ArrayType(T.StringType()))]
-)

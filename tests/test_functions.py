@@ -63,7 +63,6 @@ def test_targets(spark):
     ],
 )
 def test_categories(spark, text, known, unknown):
-    assert P.normalized(text) == (known, unknown)
     found = P.category_candidates(F.col("c"))
     assert one(spark, text, P.known_categories(found), P.unknown_categories(found)) == (known, unknown)
 
@@ -81,11 +80,24 @@ def test_replies(spark, raw, view, prediction, status):
     assert (got["prediction"], got["parse_status"]) == (prediction, status)
 
 
-def test_categories_survive_a_bad_label():
-    got = P.parsed_reply('{"User Safety": "maybe", "Safety Categories": ["S1", "x"]}', "P")
+def test_categories_survive_a_bad_label(spark):
+    got = one(spark, ('{"User Safety": "maybe", "Safety Categories": ["S1", "x"]}', "P"), P.parse_output(F.col("r"), F.col("v")), schema="r string, v string")
     assert got["categories"] == ["Violence"] and got["unknown_categories"] == ["x"] and got["prediction"] is None
 
 
+@pytest.mark.parametrize(
+    ("raw", "status", "known"),
+    [
+        ('{"User Safety": "safe", "n": NaN, "Safety Categories": "S1;S2"}', "strict_json", ["Violence", "Sexual"]), ('```{"User Safety": Unsafe }```', "repaired_json", []), ('{"User Safety": "safe", "User Safety": unsafe}', "repaired_json", []),
+        ('{"User Safety": "safe", "Safety Categories": null}', "strict_json", []), ('{"User Safety": "safe", "Safety Categories": []}', "strict_json", []), ('{"User Safety": true}', "PARSE_ERROR", []), ('{"User Safety": "safe"', "PARSE_ERROR", []),
+        ('}{', "PARSE_ERROR", []), ('\u3000{"User Safety": "safe"}\u3000', "strict_json", []),
+    ],
+)
+def test_reply_corners(spark, raw, status, known):
+    got = one(spark, (raw, "P"), P.parse_output(F.col("r"), F.col("v")), schema="r string, v string")
+    assert (got["parse_status"], got["categories"]) == (status, known)
+
+
 def test_policies(spark):
     rows = spark.createDataFrame([("safe", "unsafe"), (None, "unsafe"), (None, "safe"), (None, None)], "p string, g string")
     got = {p: [r[0] for r in rows.select(P.apply_policy(F.col("p"), F.col("g"), p)).collect()] for p in P.POLICIES}

@@ -193,6 +193,6 @@ def scattered_rows(df: DataFrame, row_key: str | Column, entities: Sequence[Colu
     """
     rows, found = entity_links(df, row_key, entities, [F.col(split).alias("__split")])
     anchors = rows.groupBy("anchor", "__split").agg(F.count("*").alias("n")).drop("n")
-    placed = anchors.join(found, F.col("anchor") == F.col("node"), "left").select("anchor", "__split", F.coalesce("component", "anchor").alias("component"))
+    placed = cut(anchors.join(found, F.col("anchor") == F.col("node"), "left").select("anchor", "__split", F.coalesce("component", "anchor").alias("component")))  # read twice
     torn = placed.groupBy("component").agg(F.countDistinct(F.coalesce("__split", F.lit(""))).alias("n")).where("n > 1").select("component")
     return rows.join(placed.join(torn, "component", "left_semi").select("anchor").distinct(), "anchor", "left_semi").select("row_key")

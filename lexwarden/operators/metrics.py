@@ -110,3 +110,8 @@ def likelihood_metrics(rows: DataFrame, twin_keys: bool = False) -> DataFrame:
     base = plain.groupBy(*KEYS).agg(F.count("*").alias("examples"), *[F.sum(s).alias(s) for s in ("tokens_scored", "utf8_bytes", "nll_nats")])
     out = levels(base, ("examples", "tokens_scored", "utf8_bytes", "nll_nats"), twin_keys)
     return out.select(*KEYS, "examples", "tokens_scored", "utf8_bytes", *likelihood_measures(out))
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """Metric rows in order of their key, as they are written."""
+    return df.orderBy(*KEYS)

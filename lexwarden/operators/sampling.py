@@ -70,3 +70,9 @@ def ordered_limit(df: DataFrame, order: Sequence[str | Column], n: int | None) -
 def remaining(df: DataFrame, drawn: DataFrame, key: str) -> DataFrame:
     """Rows that were not drawn, by id."""
     return df.join(drawn.select(key), key, "left_anti")
+
+
+def select_texts(df: DataFrame, language: str, n: int | None, field: str, order: Sequence[str | Column]) -> DataFrame:
+    """Rows of a language (``all`` for any), the first ``n`` of them, and of these the ones whose text is not blank."""
+    chosen = df if language == "all" else df.where(F.col("language") == language)
+    return ordered_limit(chosen, order, n).where(F.coalesce(F.regexp_replace(field, r"(?U)\s+", ""), F.lit("")) != "")

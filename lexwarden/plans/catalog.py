@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexwarden.plans import evaluation, packed_fields, preparation
+from lexwarden.plans import delivery, evaluation, packed_fields, preparation
 
-MODULES = (preparation, evaluation, packed_fields)
+MODULES = (preparation, evaluation, packed_fields, delivery)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

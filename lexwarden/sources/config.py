@@ -57,3 +57,32 @@ def models_frame(spark: SparkSession, models: list[dict]) -> DataFrame:
 def merged_settings(common: Mapping, own: Mapping) -> dict:
     """Settings of a method over the common ones."""
     return {**common, **own}
+
+
+#: Settings that only some methods have, and those that belong to the data or to a trial run.
+LORA_KEYS = ("lora_r", "lora_alpha", "lora_dropout")
+NOT_TRAINING = ("max_length", "smoke_max_steps", "pilot_max_steps", *LORA_KEYS)
+
+
+def training_config(config: Mapping, model: Mapping, method: str, output: str, run_name: str, environment: Mapping[str, str] = os.environ) -> dict:
+    """The configuration of one training run: model, data and training settings; adapter keys only for the adapter method."""
+    training = config["training"]
+    settings = merged_settings(training["common"], training[method])
+    chosen = {"id": model_id(model["name"], model["id"], environment), "tuning": method, "attention": "sdpa", "trust_remote_code": False, "revision": None}
+    chosen |= {k: model[k] for k in ("revision", "family", "attention", "trust_remote_code") if k in model}
+    if method == "lora":
+        chosen |= {k: settings[k] for k in LORA_KEYS} | {"target_modules": list(model["target_modules"])}
+    data = config["data"]["output_dir"]
+    return {
+        "run_name": run_name, "model": chosen, "output_dir": output,
+        "data": {"train": os.path.join(data, "train.jsonl"), "validation": os.path.join(data, "valid.jsonl"), "max_length": settings["max_length"]},
+        "training": {k: v for k, v in settings.items() if k not in NOT_TRAINING},
+    }
+
+
+def evaluated_model(base_id: str, runs: str, name: str, method: str, trained: str, after: bool) -> tuple[str, str | None, str]:
+    """(model, adapter or None, run directory) to evaluate: the base before training; after it, its final state or adapter."""
+    if not after:
+        return base_id, None, os.path.join(runs, name, "base")
+    final = os.path.join(trained, "final")
+    return (base_id, final, trained) if method == "lora" else (final, None, trained)

@@ -9,6 +9,7 @@ import json
 import os
 import shutil
 import stat
+import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
 from pathlib import Path, PurePosixPath
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexwarden.functions.text import LANGUAGE_DIRECTORIES
+from lexwarden.sources.sinks import move_to_backup
 
 #: Guards of archives.
 MAX_ENTRIES, MAX_BYTES, MAX_RATIO = 200_000, 100 << 30, 10_000
@@ -121,6 +123,49 @@ def merge_archives(parts: Sequence[str], out: str, expected: Sequence[str] = ())
     return len(seen)
 
 
+def extract_archive(path: str, out: str) -> int:
+    """Extracts a checked ZIP file beside ``out`` and moves it there; what stood there is kept as a backup.
+
+    An unsafe name, a link or a suspicious size raises before anything is written; a failure leaves ``out`` as it was.
+    """
+    with zipfile.ZipFile(path) as archive:
+        members = archive.infolist()
+        size, packed = sum(m.file_size for m in members), sum(m.compress_size for m in members)
+        if len(members) > MAX_ENTRIES or size > MAX_BYTES or packed and size > MAX_RATIO * packed:
+            raise ValueError(f"{path}: too many entries or bytes")
+        for m in members:
+            parts = PurePosixPath(m.filename.replace("\\", "/"))
+            if parts.is_absolute() or ".." in parts.parts or stat.S_ISLNK(m.external_attr >> 16):
+                raise ValueError(f"{path}: unsafe member {m.filename!r}")
+        draft = f"{out}.draft-{uuid.uuid4().hex}"
+        try:
+            archive.extractall(draft)
+            move_to_backup(out)
+            os.replace(draft, out)
+        finally:
+            shutil.rmtree(draft, ignore_errors=True)
+    return len(members)
+
+
+def chosen_archives(specs: DataFrame, only: Sequence[str] = ()) -> DataFrame:
+    """The archive specifications with the given keys, all without any; an unknown key raises."""
+    if not only:
+        return specs
+    unknown = sorted(set(only) - {r["key"] for r in specs.select("key").distinct().collect()})  # a handful of archives
+    if unknown:
+        raise ValueError(f"unknown archives: {unknown}")
+    return specs.where(F.col("key").isin(*only))
+
+
+#: The files of the benchmarks.
+BENCHMARK_FILES = {"cultureguard": "cultureguard_test_9lang.jsonl", "xsafety": "xsafety_multilingual.jsonl", "sea_vi": "sea_safeguard_vi.jsonl"}
+
+
+def benchmark_files(folder: str) -> dict[str, str]:
+    """The path of each benchmark's file."""
+    return {name: os.path.join(folder, file) for name, file in BENCHMARK_FILES.items()}
+
+
 def match_archive(folder: str, patterns: Sequence[str]) -> str | None:
     """The one file whose name fits a pattern, case set aside; None if none does, more than one raises."""
     names = sorted(n for n in os.listdir(folder) if any(fnmatch.fnmatchcase(n.lower(), p.lower()) for p in patterns))

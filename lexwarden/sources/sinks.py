@@ -61,9 +61,20 @@ def manifest(counters: DataFrame, **facts) -> dict:
     return {"created_at": datetime.now(UTC).isoformat(timespec="seconds"), **facts, **{r["key"]: r["n"] for r in small_rows(counters.orderBy("key"))}}
 
 
+def splits_manifest(df: DataFrame, folder: str, source: str, languages: list[str], split: str = "source_split") -> dict:
+    """The manifest of prepared splits: path, rows, counters and content digest of each."""
+    from lexwarden.operators.quality import split_counters
+
+    counts: dict[str, dict[str, int]] = {}
+    for r in small_rows(split_counters(df).orderBy(split, "key")):
+        counts.setdefault(r[split], {})[r["key"]] = r["n"]
+    digests = {name: small_rows(written_digest(df.where(F.col(split).eqNullSafe(name))))[0]["digest"] for name in counts}  # one row a split
+    return {"source": source, "languages": languages, "splits": {str(n): {"path": os.path.join(folder, f"{n}.jsonl"), "rows": c["examples"], "digest": digests[n], "counts": c} for n, c in counts.items()}}
+
+
 def written_digest(df: DataFrame) -> DataFrame:
     """One row (``rows``, ``digest``): an order-free digest of a frame's content, for manifests of many files."""
-    return df.select(F.xxhash64(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("rows"), F.hex(F.coalesce(F.sum("h"), F.lit(0)).cast("long")).alias("digest"))
+    return df.select(F.xxhash64(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("rows"), F.hex(F.pmod(F.coalesce(F.sum("h"), F.lit(0)), F.lit(1 << 62)).cast("long")).alias("digest"))
 
 
 def move_to_backup(path: str, now: datetime | None = None) -> str | None:

@@ -176,3 +176,43 @@ def test_stream(spark, tmp_path, sf_dir):
     assert got.count() == got.select(*keys).distinct().count() == canonical_views(source).select(*keys).distinct().count()
     counts = windowed_counts(got)
     assert counts.agg(F.sum("n")).first()[0] == got.count()
+
+
+def test_training_config_and_evaluated_model():
+    from lexwarden.sources import config as G
+
+    settings = {"training": {"common": {"epochs": 1, "max_length": 64, "smoke_max_steps": 2}, "lora": {"lora_r": 8, "lora_alpha": 16, "lora_dropout": 0.1}, "full": {"rate": 0.5}}, "data": {"output_dir": "d"}}
+    model = {"name": "m", "id": "x/m", "family": "f", "target_modules": ["q"]}
+    lora, full = (G.training_config(settings, model, k, "out", f"m-{k}", {}) for k in ("lora", "full"))
+    assert lora["model"]["lora_r"] == 8 and lora["model"]["target_modules"] == ["q"] and lora["training"] == {"epochs": 1} and lora["data"]["max_length"] == 64
+    assert "lora_r" not in full["model"] and full["training"] == {"epochs": 1, "rate": 0.5} and full["data"]["validation"] == "d/valid.jsonl"
+    assert G.training_config(settings, model, "full", "out", "r", {"MODEL_PATH_M": "/m"})["model"]["id"] == "/m"
+    assert G.evaluated_model("x/m", "runs", "m", "lora", "t", False) == ("x/m", None, "runs/m/base")
+    assert G.evaluated_model("x/m", "runs", "m", "lora", "t", True) == ("x/m", "t/final", "t") and G.evaluated_model("x/m", "runs", "m", "full", "t", True) == ("t/final", None, "t")
+
+
+def test_extraction(tmp_path):
+    import zipfile
+
+    from lexwarden.sources import files as S
+
+    good, bad, out = tmp_path / "a.zip", tmp_path / "b.zip", tmp_path / "out"
+    with zipfile.ZipFile(good, "w") as z:
+        z.writestr("x/y.txt", "1")
+    with zipfile.ZipFile(bad, "w") as z:
+        z.writestr("../y.txt", "1")
+    assert S.extract_archive(str(good), str(out)) == 1 and (out / "x" / "y.txt").read_text() == "1"
+    with pytest.raises(ValueError, match="unsafe"):
+        S.extract_archive(str(bad), str(out))
+    assert (out / "x" / "y.txt").exists()
+    S.extract_archive(str(good), str(out))
+    assert any(p.name.startswith("out.backup-") for p in tmp_path.iterdir()) and not any(".draft-" in p.name for p in tmp_path.iterdir())
+
+
+def test_archive_choice(spark):
+    from lexwarden.sources import files as S
+
+    specs = spark.createDataFrame([("a", "x"), ("b", "y")], "key string, destination string")
+    assert [r.key for r in S.chosen_archives(specs, ["b"]).collect()] == ["b"] and S.chosen_archives(specs).count() == 2
+    with pytest.raises(ValueError, match="unknown"):
+        S.chosen_archives(specs, ["c"])

@@ -40,10 +40,11 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], n: int, key: str, ar
     same = [F.col(f"r.{s}").eqNullSafe(F.col(f"q.{s}")) for s in strata]
     joined = ranked.alias("r").join(F.broadcast(quotas.alias("q")), same).select("r.*", "q.quota", "q.room")
     drawn = joined.where(F.col("rank_in") <= F.col("room"))
-    spent = quotas.agg((F.lit(n) - F.least(F.lit(n), F.sum("taken"))).alias("open"))
+    open_ = quotas.agg((F.lit(n) - F.least(F.lit(n), F.sum("taken"))).alias("open")).first()["open"] or 0  # one number
+    if open_ == 0:
+        return drawn.select(*df.columns)
     rest = rank_within(joined.where(F.col("rank_in") > F.col("quota")).drop("rank_in", "room", "quota"), [], draw_order(F.col(key), seed))
-    fill = rest.crossJoin(F.broadcast(spent)).where(F.col("rank_in") <= F.col("open"))
-    return drawn.select(*df.columns).unionByName(fill.select(*df.columns))
+    return drawn.select(*df.columns).unionByName(rest.where(F.col("rank_in") <= open_).select(*df.columns))
 
 
 def rank_within(df: DataFrame, groups: Sequence[str], order: Column) -> DataFrame:

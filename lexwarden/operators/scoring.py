@@ -14,6 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexwarden.session import stored
+
+#: Words of a vocabulary that is sent to each executor, some 50 MB.
+MAX_WORDS = 1_000_000
+
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
@@ -35,14 +40,18 @@ def score(df: DataFrame, scorer: Scorer, adds: T.StructType, batch_rows: int | N
 def unigram_rows(df: DataFrame, key: str, text: str, carry: list[str]) -> DataFrame:
     """(``key``, ``carry``, ``input_tokens``, ``tokens_scored``, ``utf8_bytes``, ``nll_nats``) of each text that is not blank.
 
-    Words are what stands between single spaces.  Each text is reduced to its word counts before words are joined with
-    their corpus counts, and partial sums carry the frequent words.
+    Words are what stands between single spaces.  Each text is reduced to its word counts, which are written once and read
+    for the corpus counts and for the texts.  A vocabulary of up to ``MAX_WORDS`` is broadcast; a larger one is joined by
+    word, whose frequent ones adaptive execution splits.
     """
     texts = df.select(key, *carry, text).where(F.coalesce(F.regexp_replace(text, r"(?U)\s+", ""), F.lit("")) != "")
     words = texts.select(key, F.posexplode(F.split(text, " ")).alias("at", "word"))
     inside = words.groupBy(key, "word").agg(F.sum(F.when(F.col("at") > 0, 1).otherwise(0)).alias("scored"), F.count("*").alias("n"))
+    inside, _ = stored(inside)
     corpus = inside.groupBy("word").agg(F.sum("n").alias("seen"))
     total = inside.agg(F.sum("n").alias("total"))  # one number
     costs = corpus.crossJoin(F.broadcast(total)).select("word", (F.ln("total") - F.ln("seen")).alias("cost"))
+    if corpus.limit(MAX_WORDS + 1).count() <= MAX_WORDS:
+        costs = F.broadcast(costs)
     nll = inside.join(costs, "word").groupBy(key).agg(F.sum("n").alias("input_tokens"), F.sum("scored").alias("tokens_scored"), F.sum(F.col("scored") * F.col("cost")).alias("nll_nats"))
     return texts.select(key, *carry, F.octet_length(text).cast("long").alias("utf8_bytes")).join(nll, key)

@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 #: Single-byte delimiters, and the UTF-8 forms of the longer ones.
 ASCII_DELIMITERS = b",;|\n\r\t"
 WIDE_DELIMITERS = ("，", "；", "、", "｜", "•")
-QUOTES = b"\"'"
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _DIGIT = np.zeros(256, bool)
@@ -206,7 +205,10 @@ def _explode_multi(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def packed_multi(df: DataFrame, key: str | Column, field: str | Column) -> DataFrame:
-    """As :func:`packed_values`, but only for fields that hold two or more values; still narrow."""
+    """As :func:`packed_values`, but only for fields that hold two or more values; still narrow.
+
+    Two values and a delimiter take three characters, so shorter fields are left out before they reach Python.
+    """
     key = F.col(key) if isinstance(key, str) else key
     field = F.col(field) if isinstance(field, str) else field
     source = df.select(key.cast("long").alias("row_key"), field.cast("string").alias("packed")).where(F.length("packed") > 2)

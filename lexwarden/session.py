@@ -55,6 +55,10 @@ def shared_folder(spark: SparkSession) -> str:
         shared = "file://" + tempfile.mkdtemp(prefix="lexwarden-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared)
+    if "://" not in shared:  # the folder's full name, as workers may open it by themselves
+        path = context._jvm.org.apache.hadoop.fs.Path(shared)
+        shared = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        shared = shared.replace("file:/", "file:///", 1) if shared.startswith("file:/") and not shared.startswith("file://") else shared
     return shared
 
 

@@ -175,3 +175,12 @@ def test_scorer(spark):
     seen = spark.range(10).coalesce(1)
     out = scoring.score(seen, lambda frames: (f.assign(size=len(f)) for f in frames), T.StructType([T.StructField("size", T.LongType())]), batch_rows=4)
     assert sorted(r["size"] for r in out.collect()) == [2, 2] + [4] * 8
+
+
+def test_stored_tables(spark, tmp_path):
+    from lexwarden import session as S
+
+    df = spark.createDataFrame([(1, "a", 0), (2, "b", 1)], "id long, v string, part int")
+    back, place = S.stored(df, by="part")
+    assert sorted(tuple(r) for r in back.select("id", "v", "part").collect()) == [(1, "a", 0), (2, "b", 1)] and "://" in place
+    assert S.cut(df).count() == 2 and S.shared_folder(spark).startswith("file://")

@@ -26,6 +26,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.short_targets(_pools(spark, sf_dir), table(spark, sf_dir, "sample_targets"))
 
 
+def p1_shortfalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each target wants, what the pool has for it, and what is missing."""
+    return Q.shortfalls(_pools(spark, sf_dir), table(spark, sf_dir, "sample_targets")).withColumn("wanted", F.round("wanted", 6))
+
+
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each target wanted, had and drew."""
     return Q.draw_sample(_pools(spark, sf_dir), table(spark, sf_dir, "sample_targets"))[1]
@@ -176,6 +181,14 @@ SELECT t.target_id FROM sample_targets t LEFT JOIN pool p ON p.pool_table = t.po
   AND (t.language IS NULL OR t.language = p.language) AND (t.view IS NULL OR t.view = p.view) AND (t.subset IS NULL OR t.subset = p.subset)
 GROUP BY t.target_id, t.min_rows, t.share, t.sample_size
 HAVING count(DISTINCT p.example_id) < greatest(CAST(t.min_rows AS DOUBLE), t.share * t.sample_size)""",
+    "p1_shortfalls": """
+WITH pool AS (
+  SELECT 'predictions' AS pool_table, example_id, CASE WHEN language IN ('zh-CN','zh_CN','zh-cn') THEN 'zh' ELSE language END AS language, view, lower(trim(subset)) AS subset FROM predictions
+  UNION ALL
+  SELECT 'sea_examples', example_id, CASE WHEN language IN ('zh-CN','zh_CN','zh-cn') THEN 'zh' ELSE language END, view, lower(trim(subset)) FROM sea_examples),
+t AS (SELECT target_id, plan, greatest(CAST(min_rows AS DOUBLE), share * sample_size) AS wanted, (SELECT count(DISTINCT p.example_id) FROM pool p WHERE p.pool_table = t.pool_table
+  AND (t.language IS NULL OR t.language = p.language) AND (t.view IS NULL OR t.view = p.view) AND (t.subset IS NULL OR t.subset = p.subset)) AS available FROM sample_targets t)
+SELECT target_id, plan, available, round(wanted, 6) AS wanted, greatest(0, CAST(ceil(wanted) AS BIGINT) - available) AS missing, available >= wanted AS met FROM t""",
     "p1_available": """
 WITH pool AS (
   SELECT 'predictions' AS pool_table, example_id, CASE WHEN language IN ('zh-CN','zh_CN','zh-cn') THEN 'zh' ELSE language END AS language, view, lower(trim(subset)) AS subset FROM predictions
@@ -189,7 +202,7 @@ WITH s AS ({_SOURCE_SQL})
 SELECT row_id FROM s WHERE k IN (SELECT k FROM s GROUP BY k HAVING count(DISTINCT coalesce(source_split, '')) > 1)""",
 }
 
-_QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_sample, p1_available, p2_found, p2_report, p4_found, p4_report, p5_found, p5_splits, p5_report, p5_linked, p6_tokens, p6_budget, p7_ids, p8_found, p8_passages, p8_report, p9_found, p9_restored)}
+_QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_shortfalls, p1_sample, p1_available, p2_found, p2_report, p4_found, p4_report, p5_found, p5_splits, p5_report, p5_linked, p6_tokens, p6_budget, p7_ids, p8_found, p8_passages, p8_report, p9_found, p9_restored)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -95,17 +95,24 @@ def available(pools: DataFrame, targets: DataFrame) -> DataFrame:
     return every.join(held, "target_id", "left").select("target_id", F.coalesce("n", F.lit(0)).alias("available"))
 
 
-def short_targets(pools: DataFrame, targets: DataFrame) -> DataFrame:
-    """``target_id`` of targets whose pool holds fewer distinct examples than their floor or their share asks for.
+def shortfalls(pools: DataFrame, targets: DataFrame) -> DataFrame:
+    """(``target_id``, ``plan``, ``available``, ``wanted``, ``missing``, ``met``) of every target by itself.
 
-    What the slack arc of the target carries when no other target of its plan takes anything.
+    ``missing`` is what the slack arc of the target carries when no other target of its plan takes anything.
     """
-    rows = read_targets(targets)
-    short = []
+    rows, out = read_targets(targets), []
     if rows:
-        held = _class_counts(classed(pools, rows).groupBy(*CELL).agg(F.count("*").alias("n")))
-        short = [(t["target_id"],) for t in rows if own_slack(t, held.get(t["plan"], [])) > 0]
-    return pools.sparkSession.createDataFrame(short, "target_id long")
+        by_plan = _class_counts(classed(pools, rows).groupBy(*CELL).agg(F.count("*").alias("n")))
+        for t in rows:
+            held = by_plan.get(t["plan"], [])
+            missing = own_slack(t, held)
+            out.append((t["target_id"], t["plan"], sum(n for key, n in held if t["target_id"] in key[-1]), wanted_units(t), missing, missing == 0))
+    return pools.sparkSession.createDataFrame(out, "target_id long, plan string, available long, wanted double, missing long, met boolean")
+
+
+def short_targets(pools: DataFrame, targets: DataFrame) -> DataFrame:
+    """``target_id`` of targets whose pool holds fewer distinct examples than their floor or their share asks for."""
+    return shortfalls(pools, targets).where(~F.col("met")).select("target_id")
 
 
 def wanted_units(target) -> float:

@@ -244,6 +244,53 @@ def near_same(train: str, held: str) -> bool:
     return edit_distance_within(train, held, max(len(train), len(held)) // ONE_OF)
 
 
+#: Longer texts are compared one by one, as their tables are wide.
+_TABLE_LENGTH = 2000
+
+
+def near_same_many(train: Sequence[str], held: Sequence[str]) -> np.ndarray:
+    """:func:`near_same` of each pair; the bands of many tables are filled row by row together."""
+    size = np.array([max(len(a), len(b)) for a, b in zip(train, held, strict=True)], np.int64)
+    out, order, at = np.zeros(len(size), bool), np.argsort(size, kind="stable"), 0
+    while at < len(order):
+        if size[order[at]] > _TABLE_LENGTH:
+            for i in order[at:].tolist():
+                out[i] = near_same(train[i], held[i])
+            break
+        fits = order[at : at + max(1, (1 << 18) // (2 * int(size[order[at]]) // ONE_OF + 3))]
+        fits = fits[size[fits] <= min(_TABLE_LENGTH, 1.3 * size[fits[0]] + 8)]
+        out[fits] = _banded([train[i] for i in fits], [held[i] for i in fits], size[fits] // ONE_OF)
+        at += len(fits)
+    return out
+
+
+def _banded(a: Sequence[str], b: Sequence[str], limit: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair is within its limit; a row holds the diagonals up to the largest limit."""
+    wide, rows = int(limit.max()), np.arange(len(a))
+    long_a, long_b = (np.array([len(t) for t in texts], np.int64) for texts in (a, b))
+
+    def padded(texts: Sequence[str], lengths: np.ndarray, before: int, after: int, fill: int) -> np.ndarray:
+        out = np.full((len(texts), before + int(lengths.max()) + after), fill, np.int32)
+        out[np.repeat(rows, lengths), before + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = _points(texts)
+        return out
+
+    left, right = padded(a, long_a, 0, 0, -1), padded(b, long_b, wide, wide + max(0, int(long_a.max() - long_b.max())) + 1, -2)
+    shift = np.arange(-wide, wide + 1, dtype=np.int16)
+    far = np.int16(10_000)
+    row = np.tile(np.where(shift >= 0, shift, far).astype(np.int16), (len(a), 1))
+    found = np.where(long_a == 0, long_b, far).astype(np.int64)
+    for i in range(int(long_a.max())):
+        best = row + (right[:, i : i + 2 * wide + 1] != left[:, i : i + 1])
+        np.minimum(best[:, :-1], row[:, 1:] + 1, out=best[:, :-1])
+        row = np.minimum.accumulate(best - shift, axis=1) + shift  # from the left at one a step
+        done = np.flatnonzero(long_a == i + 1)
+        if len(done):
+            across = long_b[done] - long_a[done]
+            inside = np.abs(across) <= wide
+            found[done[inside]] = row[done[inside], wide + across[inside]]
+    return found <= limit
+
+
 def gram_sets(texts: Sequence[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(words of the bit sets of each text's grams, how many bits are set)."""
     m = len(texts)
@@ -262,15 +309,21 @@ def gram_sets(texts: Sequence[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return words, np.bitwise_count(words).sum(axis=1, dtype=np.int64)
 
 
+def gram_bits(longest: int) -> int:
+    """Bits of the gram sets of texts of up to that length."""
+    return max(LEAST_BITS, 1 << (4 * longest - 1).bit_length())
+
+
 class Shard:
     """Evaluation texts in order of length, their index and their gram sets."""
 
-    def __init__(self, ids: Sequence[bytes], texts: Sequence[str], index: TextIndex | None = None) -> None:
+    def __init__(self, ids: Sequence[bytes], texts: Sequence[str], index: TextIndex | None = None, words: bytes | None = None) -> None:
         self.ids, self.texts, self.index = list(ids), list(texts), index or TextIndex(texts)
         self.length = np.array([len(t) for t in self.texts], np.int64)
         self.longest = int(self.length[-1])
-        self.bits = max(LEAST_BITS, 1 << (4 * self.longest - 1).bit_length())
-        self.words, self.set_bits = gram_sets(self.texts, self.bits)
+        self.bits = gram_bits(self.longest)
+        self.words = gram_sets(self.texts, self.bits)[0] if words is None else np.frombuffer(words, np.uint64).reshape(len(self.texts), -1)
+        self.set_bits = np.bitwise_count(self.words).sum(axis=1, dtype=np.int64)
         self.columns = np.ascontiguousarray(self.words.T)
 
     def near(self, texts: Sequence[str]) -> list[tuple[int, int]]:
@@ -318,7 +371,9 @@ class Shard:
                 limit = np.maximum(length[x[at : at + 4096]], self.length[y[at : at + 4096]]) // ONE_OF
                 keep[at : at + 4096] = common >= np.maximum(own_bits[p], set_bits[q]) - GRAM * limit
             x, y = x[keep], y[keep]
-        return [(int(fit[i]), j) for i, j in zip(x.tolist(), y.tolist()) if near_same(texts[i], self.texts[j])]
+        x, y = x.tolist(), y.tolist()
+        near = near_same_many([texts[i] for i in x], [self.texts[j] for j in y])
+        return [(int(fit[i]), j) for i, j, is_near in zip(x, y, near.tolist()) if is_near]
 
     def _looked_up(self, owner: np.ndarray, start: np.ndarray, rows_low: np.ndarray, rows_high: np.ndarray, limit: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The distinct pairs of a piece's text and the texts in which the piece stands at a like place."""
@@ -489,7 +544,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _PARTS = ("alphabet", "first", "psi", "kept", "places", "lengths")
-_INDEX_SCHEMA = "shard int, ids binary, texts binary, " + ", ".join(f"{p} binary" for p in _PARTS)
+_INDEX_SCHEMA = "shard int, ids binary, texts binary, words binary, " + ", ".join(f"{p} binary" for p in _PARTS)
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -500,8 +555,9 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shards[shard].append((len(plain), key, plain))
     for shard, held in shards.items():
         held.sort()
-        parts = TextIndex([t for _, _, t in held]).parts()
-        row = {"shard": shard, "ids": b"".join(k for _, k, _ in held), "texts": "".join(t for _, _, t in held).encode()} | parts
+        texts = [t for _, _, t in held]
+        words, _ = gram_sets(texts, gram_bits(len(texts[-1])))
+        row = {"shard": shard, "ids": b"".join(k for _, k, _ in held), "texts": "".join(texts).encode(), "words": words.tobytes()} | TextIndex(texts).parts()
         yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32() if k == "shard" else pa.binary()) for k, v in row.items()], list(row))
 
 
@@ -513,7 +569,7 @@ def load_shard(place: str, shard: int) -> Shard:
     index = TextIndex.from_parts(row)
     joined, bounds = row["texts"].decode(), np.cumsum(np.frombuffer(row["lengths"], np.int32).astype(np.int64) - 1).tolist()
     texts = [joined[a:b] for a, b in zip([0, *bounds], bounds)]
-    return Shard([row["ids"][i : i + 16] for i in range(0, len(row["ids"]), 16)], texts, index)
+    return Shard([row["ids"][i : i + 16] for i in range(0, len(row["ids"]), 16)], texts, index, row["words"])
 
 
 def _searcher(place: str, shards: Sequence[_Place]):

@@ -27,6 +27,21 @@ def test_distance(a, b, limit):
     assert O.edit_distance_within(a, b, limit) == (distance(a, b) <= limit)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text("ab", max_size=40), st.text("ab", max_size=40)), max_size=8))
+def test_many_distances(pairs):
+    a, b = [p[0] for p in pairs], [p[1] for p in pairs]
+    assert O.near_same_many(a, b).tolist() == [distance(x, y) <= max(len(x), len(y)) // 8 for x, y in pairs]
+
+
+def test_long_distances():
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdef") for _ in range(2600))
+    others = [scattered(rng, text, "abcdef", n) for n in (10, 300, 420)] + [text[:1900], text[200:]]
+    a, b = [text] * len(others) + [text[:1500]] * 2, [*others, scattered(rng, text[:1500], "abcdef", 150), scattered(rng, text[:1500], "abcdef", 260)]
+    assert O.near_same_many(a, b).tolist() == [O.near_same(x, y) for x, y in zip(a, b)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("abé世", min_size=1, max_size=15), min_size=1, max_size=6), st.lists(st.text("abéx世", max_size=12), min_size=1, max_size=4), st.integers(1, 3))
 def test_index_matches(texts, queries, least):

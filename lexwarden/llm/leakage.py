@@ -38,8 +38,9 @@ HIT_ONE_OF = 4
 BRIDGE = 48
 #: What a bridged character of the item costs, in matched ones; a passage begins anew where bridging costs more than it brings.
 GAP_COST = 2
-#: Share of a passage that must match; what it bridges then counts as wording too.
-SURE = 0.91
+#: How much of a passage must match, a share of the passage and one of the item: 0.92 of a passage of half an item, 0.85 of
+#: one of the whole.  What the passage bridges then counts as wording too.
+SURE, EXTRA = 0.78, 0.07
 #: Characters of items in one automaton, which takes about 400 bytes for each; more items are several automata.
 MAX_CHARS = 500_000
 #: Characters of documents that a task holds while it goes through the automata.
@@ -178,7 +179,7 @@ class LeakIndex:
             matched.append(new + (matched[came] if came < j else 0))
             start.append(start[came] if came < j else j)
             whole = p + n - stretches[start[j]][1]
-            if matched[j] >= SURE * whole and whole > best[0] * size:
+            if matched[j] >= SURE * whole + EXTRA * size and whole > best[0] * size:
                 best = (whole / size, stretches[start[j]][0], x + n)
         return best
 

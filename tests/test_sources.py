@@ -48,7 +48,7 @@ def test_line_numbers_over_file_blocks(spark, tmp_path):
 
 
 def test_rows_file(spark, tmp_path):
-    schema = _struct("model:s score:d")
+    schema = _struct("model string, score double")
     assert jsonl.read_rows(spark, str(tmp_path / "none.json"), schema).count() == 0
     (tmp_path / "a.json").write_text("{}")
     assert jsonl.read_rows(spark, str(tmp_path / "a.json"), schema).count() == 0

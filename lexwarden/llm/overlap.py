@@ -4,13 +4,14 @@ Prompts are reduced to normal forms; equal forms are one text, so that copies co
 put into shards by script and length, and each shard gets a full-text index once: a compressed suffix array, searched
 backwards.  Training forms are streamed through the shards whose texts can be near-same by length and script.
 
-A training text that differs in ``k`` characters at most is cut into ``k + 1`` pieces, of which one must stand unchanged in
-the other text (pigeonhole), so backward search of the pieces loses no pair.  The search tells how often each piece occurs
-before any place is looked up.  Where the pieces of a text occur more often than the shard has texts of fit length, as in
-texts put together from the same phrases, the texts of fit length are held against it one by one, by bit sets of their
-3-character grams: ``k`` edits spoil at most ``3 k`` grams, so this loses no pair either.  Candidates of both ways pass
-through the gram count and an exact edit distance.  Backward search of the whole text then gives the maximal matches with
-each partner, merged into spans.
+A training text is cut into ``m`` short pieces.  ``k`` edits spoil at most ``k`` of them, so that ``m - k`` stand unchanged in any
+near-same text, and at a like place: whoever moves a piece by ``s`` puts in or leaves out ``|s|`` characters before it and
+``|d - s|`` behind it, if the lengths differ by ``d``, so that ``|2 s - d| <= k``.  Each shard lists where every short gram stands,
+by the place from the middle of its text; a piece takes one stretch of a list, and texts that stand in enough of the stretches
+are candidates.  Where the stretches of a text hold more than comparing it with each text of fit length costs, as in texts
+of one character repeated, that is done by bit sets of 3-character grams: ``k`` edits spoil at most ``3 k`` grams.  Neither way
+loses a pair.  Candidates of both pass through the gram count and an exact edit distance.  Backward search of the whole text
+then gives the maximal matches with each partner, merged into spans.
 
 Defined results: null prompts and prompts without letters or digits match nothing; repeated rows give one pair each;
 an empty side gives no pairs.
@@ -22,6 +23,7 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from hashlib import blake2b
 
 import numpy as np
@@ -42,11 +44,15 @@ LEAST_MATCH = 10
 #: Grams of the exact filter: length in characters, and bits of the second look; the first has four a character.
 GRAM, LEAST_BITS, MORE_BITS = 3, 1024, 8192
 #: Characters of evaluation texts in a shard, of training texts in a task and in a search, about.
-SHARD_CHARS, TASK_CHARS, BUFFER_CHARS = 1 << 22, 1 << 20, 1 << 22
+SHARD_CHARS, TASK_CHARS, BUFFER_CHARS = 1 << 22, 1 << 22, 1 << 22
+#: Tasks a core, at least, where there are texts enough; more only as they would exceed ``TASK_CHARS``.
+TASKS_PER_CORE = 4
 #: Length bands: so many to a factor of e.  A shard spans at most ``SHARD_BANDS``, unless it is one band.
 BANDS, SHARD_BANDS = 32, 24
-#: Looking up a place costs about as much as this many comparisons of gram sets.
-PLACE_COST = 4
+#: Counting a place of a list costs about as much as comparing this many words of gram sets.
+PLACE_COST = 1
+#: Characters of a piece, at most: shorter ones stand in more texts, but more of them must.
+PIECE = 5
 #: One of so many suffixes has its place kept.
 SAMPLE = 4
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -314,17 +320,79 @@ def gram_bits(longest: int) -> int:
     return max(LEAST_BITS, 1 << (4 * longest - 1).bit_length())
 
 
+class PlaceLists:
+    """Where each gram of ``width`` characters stands in a set of texts, sorted by gram and place.
+
+    A place is twice its distance from the middle of the text, so that texts of different length are laid middle on middle.
+    """
+
+    def __init__(self, texts: Sequence[str], length: np.ndarray, width: int) -> None:
+        self.width, self.longest = width, int(length.max())
+        for_text, self.for_place = (len(texts) - 1).bit_length(), (2 * self.longest).bit_length()
+        self.shift = np.uint64(for_text + self.for_place)
+        owner = np.repeat(np.arange(len(texts)), length)
+        at = np.arange(len(owner)) - (np.cumsum(length) - length)[owner]
+        whole = at + width <= length[owner]
+        place = (2 * at - length[owner] + self.longest)[whole].astype(np.uint64)
+        keys = self._grams(texts)[whole] << self.shift | place << np.uint64(for_text) | owner[whole].astype(np.uint64)
+        keys.sort()
+        self.owners = (keys & np.uint64((1 << for_text) - 1)).astype(np.uint16 if for_text <= 16 else np.int32)
+        self.keys = keys >> np.uint64(for_text)
+
+    def _grams(self, texts: Sequence[str]) -> np.ndarray:
+        """The hash of the gram at each place, with as many bits as the keys have left; grams that meet only add candidates."""
+        points = _points(texts).astype(np.uint64)
+        padded, code = np.concatenate((points, np.zeros(self.width, np.uint64))), np.zeros(len(points), np.uint64)
+        for i in range(self.width):
+            code = code * _MULTIPLIER + padded[i : i + len(points)]
+        return _mixed(code) >> self.shift
+
+    def stretches(self, texts: Sequence[str], length: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """How many pieces each text has, and for each piece the stretch of its gram's list in reach of ``most`` edits."""
+        pieces = length // self.width
+        owner = np.repeat(np.arange(len(texts)), pieces)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = length[owner] * nth // pieces[owner]
+        gram = self._grams(texts)[(np.cumsum(length) - length)[owner] + start] << np.uint64(self.for_place)
+        place = 2 * start - length[owner] + self.longest
+        order = np.argsort(gram)  # neighbouring searches read the same memory
+        out = []
+        for side, bound in (("left", np.maximum(place - most[owner], 0)), ("right", np.minimum(place + most[owner], 2 * self.longest))):
+            found = np.empty(len(owner), np.int64)
+            # A text longer than all of these may have pieces beyond their ends.
+            key = gram | np.clip(bound, 0, 2 * self.longest).astype(np.uint64)
+            found[order] = np.searchsorted(self.keys, key[order], side)
+            out.append(found)
+        return pieces, (out[0], np.maximum(out[0], out[1]))
+
+
 class Shard:
-    """Evaluation texts in order of length, their index and their gram sets."""
+    """Evaluation texts in order of length, their index, gram sets and lists of places."""
 
-    def __init__(self, ids: Sequence[bytes], texts: Sequence[str], index: TextIndex | None = None, words: bytes | None = None) -> None:
-        self.ids, self.texts, self.index = list(ids), list(texts), index or TextIndex(texts)
+    def __init__(self, ids: Sequence[bytes], texts: Sequence[str], parts: dict[str, bytes] | None = None, words: bytes | None = None) -> None:
+        self.ids, self.texts, self._parts = list(ids), list(texts), parts
         self.length = np.array([len(t) for t in self.texts], np.int64)
         self.longest = int(self.length[-1])
         self.bits = gram_bits(self.longest)
         self.words = gram_sets(self.texts, self.bits)[0] if words is None else np.frombuffer(words, np.uint64).reshape(len(self.texts), -1)
         self.set_bits = np.bitwise_count(self.words).sum(axis=1, dtype=np.int64)
-        self.columns = np.ascontiguousarray(self.words.T)
+        self._lists: dict[int, PlaceLists] = {}
+
+    @cached_property
+    def index(self) -> TextIndex:
+        """The full-text index, which only texts with a partner need."""
+        return TextIndex(self.texts) if self._parts is None else TextIndex.from_parts(self._parts)
+
+    @cached_property
+    def columns(self) -> np.ndarray:
+        """The gram sets word by word."""
+        return np.ascontiguousarray(self.words.T)
+
+    def lists(self, width: int) -> PlaceLists:
+        """The places of all grams of ``width`` characters."""
+        if width not in self._lists:
+            self._lists[width] = PlaceLists(self.texts, self.length, width)
+        return self._lists[width]
 
     def near(self, texts: Sequence[str]) -> list[tuple[int, int]]:
         """(number of the training text, number of the shard's text) of all near-same pairs."""
@@ -335,72 +403,71 @@ class Shard:
         if not len(fit):
             return []
         texts, length, low, high = [texts[i] for i in fit], length[fit], low[fit], high[fit]
-        # One of the pieces stands unchanged in any near-same text.
-        pieces = np.maximum(length, np.minimum(self.length[high - 1], length * ONE_OF // (ONE_OF - 1))) // ONE_OF + 1
-        owner = np.repeat(np.arange(len(texts)), pieces)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        start, end = length[owner] * nth // pieces[owner], length[owner] * (nth + 1) // pieces[owner]
-        base = np.concatenate(([0], np.cumsum(length)))[:-1][owner]
-        rows_low, rows_high = self.index.intervals(self.index.codes(_points(texts)), base + start, base + end)
-        places = np.bincount(owner, rows_high - rows_low, len(texts))
-        rare = places * PLACE_COST <= high - low
-        own, own_bits = gram_sets(texts, self.bits)
+        most = np.maximum(length, self.length[high - 1]) // ONE_OF  # edits of any near-same text
+        width = np.minimum(length // (most + 1), PIECE)
         found = []
-        use = np.flatnonzero(rare[owner] & (rows_high > rows_low))
-        if len(use):
-            found.append(self._looked_up(owner[use], start[use], rows_low[use], rows_high[use], pieces - 1, low, high))
-        for i in np.flatnonzero(~rare).tolist():
-            a, b = low[i], high[i]
-            common = np.bitwise_count(self.columns[:, a:b] & own[i][:, None]).sum(axis=0, dtype=np.uint32)
-            limit = np.maximum(self.length[a:b], length[i]) // ONE_OF
-            at = np.flatnonzero(common >= np.maximum(self.set_bits[a:b], own_bits[i]) - GRAM * limit) + a
-            if len(at):
-                found.append(np.stack((np.full(len(at), i), at)))
+        for w in np.unique(width).tolist():
+            of_width = np.flatnonzero(width == w)
+            for at in range(0, len(of_width), 1 << 12):
+                found += self._candidates(of_width[at : at + (1 << 12)], w, texts, length, low, high, most)
         if not found:
             return []
-        x, y = np.concatenate(found, axis=1)
-        x, y = self._alike(x, y, length, own, own_bits, self.words, self.set_bits)
-        if len(x) and self.bits < MORE_BITS:
-            (mine, a), (theirs, b) = np.unique(x, return_inverse=True), np.unique(y, return_inverse=True)
-            own, own_bits = gram_sets([texts[i] for i in mine], MORE_BITS)
-            words, set_bits = gram_sets([self.texts[j] for j in theirs], MORE_BITS)
-            keep = np.zeros(len(x), bool)
-            for at in range(0, len(x), 4096):
-                p, q = a[at : at + 4096], b[at : at + 4096]
-                common = np.bitwise_count(own[p] & words[q]).sum(axis=1, dtype=np.int64)
-                limit = np.maximum(length[x[at : at + 4096]], self.length[y[at : at + 4096]]) // ONE_OF
-                keep[at : at + 4096] = common >= np.maximum(own_bits[p], set_bits[q]) - GRAM * limit
-            x, y = x[keep], y[keep]
-        x, y = x.tolist(), y.tolist()
-        near = near_same_many([texts[i] for i in x], [self.texts[j] for j in y])
-        return [(int(fit[i]), j) for i, j, is_near in zip(x, y, near.tolist()) if is_near]
-
-    def _looked_up(self, owner: np.ndarray, start: np.ndarray, rows_low: np.ndarray, rows_high: np.ndarray, limit: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The distinct pairs of a piece's text and the texts in which the piece stands at a like place."""
-        out, at = [], 0
-        upto = np.cumsum(rows_high - rows_low)
-        while at < len(owner):  # a few million places at once
-            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 21), "right")))
-            count = (rows_high - rows_low)[at:stop]
-            which = np.repeat(np.arange(at, stop), count)
-            rows = rows_low[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-            places = self.index.locate(rows)
-            text = np.searchsorted(self.index.starts, places, side="right") - 1
-            i = owner[which]
-            keep = (np.abs(places - self.index.starts[text] - start[which]) <= limit[i]) & (text >= low[i]) & (text < high[i])
-            out.append(np.unique(i[keep] * np.int64(len(self.texts)) + text[keep]))
+        x, y = (np.concatenate(side) for side in zip(*found))
+        for bits in dict.fromkeys((self.bits, max(self.bits, MORE_BITS))):
+            x, y = self._alike(x, y, texts, length, bits)
+        near = near_same_many([texts[i] for i in x.tolist()], [self.texts[j] for j in y.tolist()])
+        return list(zip(fit[x[near]].tolist(), y[near].tolist()))
+
+    def _candidates(self, which: np.ndarray, width: int, texts: Sequence[str], length, low, high, most) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The pairs of the texts ``which`` that agree in enough pieces, or in enough grams."""
+        lists = self.lists(width)
+        pieces, (first, last) = lists.stretches([texts[i] for i in which], length[which], most[which])
+        owner, some = np.repeat(np.arange(len(which)), pieces), last > first
+        places, filled = np.bincount(owner, last - first, len(which)), np.bincount(owner, some, len(which))
+        counted = places * PLACE_COST <= (high - low)[which] * self.words.shape[1]
+        eighth, found = self.length // ONE_OF, []
+        # ``pieces - most`` must stand in any near-same text, more in one that is not the longest.
+        counted_ones = np.flatnonzero(counted & (filled >= pieces - most[which]))
+        use = some & np.isin(owner, counted_ones)
+        owner, first, size = owner[use], first[use], (last - first)[use]
+        upto, at = np.cumsum(places[counted_ones]).astype(np.int64), 0
+        while at < len(counted_ones):  # a few hundred thousand places at once
+            stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 18), "right")))
+            p, q = np.searchsorted(owner, (counted_ones[at], counted_ones[stop - 1] + 1))
+            ends = np.cumsum(size[p:q])
+            stands = lists.owners[np.repeat(first[p:q] - ends + size[p:q], size[p:q]) + np.arange(ends[-1])]
+            bounds = (upto[at:stop] - (upto[at - 1] if at else 0)).tolist()
+            for k, begin, end in zip(counted_ones[at:stop].tolist(), [0, *bounds], bounds):
+                i = int(which[k])
+                a, b = int(low[i]), int(high[i])
+                times = np.bincount(stands[begin:end], minlength=b)[a:b]
+                near = (times >= int(pieces[k] - most[i])).nonzero()[0]
+                if len(near):
+                    near = near[times[near] + np.maximum(eighth[near + a], length[i] // ONE_OF) >= pieces[k]] + a
+                    found.append((np.full(len(near), i), near))
             at = stop
-        both = np.unique(np.concatenate(out))
-        return np.stack((both // len(self.texts), both % len(self.texts)))
-
-    def _alike(self, x, y, length, own, own_bits, words, set_bits) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs that share as many grams as near-same texts must."""
+        for i in which[~counted & (places > 0)].tolist():
+            a, b = low[i], high[i]
+            own, own_bits = gram_sets([texts[i]], self.bits)
+            common = np.bitwise_count(self.columns[:, a:b] & own[0][:, None]).sum(axis=0, dtype=np.uint32)
+            at = np.flatnonzero(common >= np.maximum(self.set_bits[a:b], own_bits[0]) - GRAM * (np.maximum(self.length[a:b], length[i]) // ONE_OF)) + a
+            found.append((np.full(len(at), i), at))
+        return found
+
+    def _alike(self, x: np.ndarray, y: np.ndarray, texts: Sequence[str], length: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs that share as many grams as near-same texts must, by sets of ``bits`` bits."""
+        (mine, a), theirs = np.unique(x, return_inverse=True), np.unique(y)
+        own, own_bits = gram_sets([texts[i] for i in mine.tolist()], bits)
+        b, words, set_bits = y, self.words, self.set_bits
+        if bits != self.bits:
+            b, (words, set_bits) = np.searchsorted(theirs, y), gram_sets([self.texts[j] for j in theirs.tolist()], bits)
         keep = np.zeros(len(x), bool)
-        step = max(1, (1 << 22) // self.bits)
+        step = max(1, (1 << 22) // bits)
         for at in range(0, len(x), step):
-            p, q = x[at : at + step], y[at : at + step]
+            p, q = a[at : at + step], b[at : at + step]
             common = np.bitwise_count(own[p] & words[q]).sum(axis=1, dtype=np.int64)
-            keep[at : at + step] = common >= np.maximum(own_bits[p], set_bits[q]) - GRAM * (np.maximum(length[p], self.length[q]) // ONE_OF)
+            limit = np.maximum(length[x[at : at + step]], self.length[y[at : at + step]]) // ONE_OF
+            keep[at : at + step] = common >= np.maximum(own_bits[p], set_bits[q]) - GRAM * limit
         return x[keep], y[keep]
 
     def search(self, texts: Sequence[str]) -> Iterator[tuple[int, int, int, float]]:
@@ -499,11 +566,12 @@ def plan_shards(cells: Sequence[tuple[int, int, int]], chars: int = SHARD_CHARS)
 def plan_tasks(cells: Sequence[tuple[int, int, int]], shards: Sequence[_Place], least: int, chars: int = TASK_CHARS) -> tuple[list[_Place], int]:
     """The tasks that search the training texts of each (script, band, characters), and how many tasks there are.
 
-    Work is characters times shards to search; neighbouring bands go to one task, a band with more work to several.
+    Work is characters times shards to search; neighbouring bands go to one task, a band with more work to several.  As each
+    task reads its shards anew, a task is as large as its texts allow and not smaller where there are more shards.
     """
     reach = {(s, b): {k for p in shards if p.script == s and abs(p.band - b) <= _BANDS_APART for k in range(p.first, p.first + p.parts)} for s, b, _ in cells}
     work = [(s, b, n * len(reach[s, b])) for s, b, n in sorted(cells) if reach[s, b]]
-    unit = max(1, min(chars, sum(w for _, _, w in work) // max(1, least)))
+    unit = max(1, min(chars * max((len(k) for k in reach.values()), default=1), sum(w for _, _, w in work) // max(1, least)))
     out, done = [], 0
     for s, b, w in work:
         first, last = done // unit, max(done, done + w - 1) // unit
@@ -566,10 +634,9 @@ def load_shard(place: str, shard: int) -> Shard:
     system, root = pafs.FileSystem.from_uri(place) if "://" in place or place.startswith("file:") else (pafs.LocalFileSystem(), place)
     files = [f.path for f in system.get_file_info(pafs.FileSelector(f"{root}/shard={shard}")) if f.base_name.endswith(".parquet")]
     row = {k: v for f in files for k, v in pq.read_table(f, filesystem=system, partitioning=None).slice(0, 1).to_pylist()[0].items()}
-    index = TextIndex.from_parts(row)
     joined, bounds = row["texts"].decode(), np.cumsum(np.frombuffer(row["lengths"], np.int32).astype(np.int64) - 1).tolist()
     texts = [joined[a:b] for a, b in zip([0, *bounds], bounds)]
-    return Shard([row["ids"][i : i + 16] for i in range(0, len(row["ids"]), 16)], texts, index, row["words"])
+    return Shard([row["ids"][i : i + 16] for i in range(0, len(row["ids"]), 16)], texts, row, row["words"])
 
 
 def _searcher(place: str, shards: Sequence[_Place]):
@@ -621,7 +688,7 @@ def near_pairs(forms: DataFrame) -> DataFrame:
     sized = forms.select("text_id", "plain", "in_train", "in_held", "band", F.explode("scripts").alias("script"))
     chars = sized.groupBy("script", "band").agg(*[F.sum(F.col(side) * (F.length("plain") + 1)).alias(side) for side in ("in_train", "in_held")]).collect()
     shards = plan_shards([(r["script"], r["band"], r["in_held"]) for r in chars if r["in_held"]])
-    tasks, n_tasks = plan_tasks([(r["script"], r["band"], r["in_train"]) for r in chars if r["in_train"]], shards, spark.sparkContext.defaultParallelism)
+    tasks, n_tasks = plan_tasks([(r["script"], r["band"], r["in_train"]) for r in chars if r["in_train"]], shards, TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     if not tasks:
         return spark.createDataFrame([], schema)
 

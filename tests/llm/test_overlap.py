@@ -183,3 +183,50 @@ def test_wording():
     text = "x <b>É</b> ﬁ"
     assert bare(text) == "xefi"
     assert [text[i] for i in bare_offsets(text)] == ["x", "É", "ﬁ", "ﬁ"]
+
+
+def test_common_wording_is_not_compared_text_by_text(monkeypatch):
+    """Texts of the same phrases share pieces with all others; only those with enough of them in place are compared."""
+    rng, compared = random.Random(11), []
+    phrases = ["".join(rng.choice("abcdefghijklmnop") for _ in range(16)) for _ in range(40)]
+    held, train = (sorted({"".join(rng.choice(phrases) for _ in range(rng.randrange(13, 16))) for _ in range(1200)}, key=len) for _ in range(2))
+    train += [scattered(rng, t, "abcdefghijklmnop", len(t) // 9) for t in held[::40]]
+    several = O.near_same_many
+    monkeypatch.setattr(O, "near_same_many", lambda a, b: compared.append(len(a)) or several(a, b))
+    shard = O.Shard([b""] * len(held), held)
+    found = set(shard.near(train))
+    assert {(1200 + n, 40 * n) for n in range(30)} <= found and all(O.near_same(train[i], held[j]) for i, j in found)
+    assert "columns" not in vars(shard)  # the gram sets of all texts of fit length
+    assert sum(compared) < 1000
+    assert shard.near(["a" * 230] * 3) == []
+
+
+def test_places_are_counted_only_while_cheaper():
+    """Texts of one character repeated stand in every stretch, and go by gram sets."""
+    held = sorted(["a" * n for n in range(60, 400, 2)] + ["ab" * n for n in range(30, 200)], key=len)
+    train = ["a" * n for n in range(61, 400, 17)] + ["ab" * 60 + "b" * n for n in (3, 40)]
+    want = {(i, j) for i, a in enumerate(train) for j, b in enumerate(held) if O.near_same(a, b)}
+    shard = O.Shard([b""] * len(held), held)
+    assert set(shard.near(train)) == want and "columns" in vars(shard)
+
+
+def test_edits_at_one_end():
+    """Characters put in or left out before, amid or behind everything else move the pieces farthest."""
+    rng, letters = random.Random(12), "abcdefghijklmnopqrstuvwxyz"
+    held = sorted({"".join(rng.choice(letters) for _ in range(n)) for n in range(7, 300, 3)}, key=len)
+    train = []
+    for t in held:
+        n = len(t) // 8
+        more = "".join(rng.choice(letters) for _ in range(len(t) // 7))
+        train += [t[n:], t[: len(t) - n], more + t, t + more, t[n // 2 :] + more[: n - n // 2], more[: n // 2] + t[: len(t) - (n - n // 2)], t[: len(t) // 2] + more + t[len(t) // 2 :]]
+    want = {(i, j) for i, a in enumerate(train) for j, b in enumerate(held) if O.near_same(a, b)}
+    assert set(O.Shard([b""] * len(held), held).near(train)) == want and len(want) >= 5 * len(held)
+
+
+def test_tasks_do_not_shrink_with_more_shards():
+    """Every task reads its shards anew, so that ten times the texts on both sides make ten times the tasks, not a hundred times."""
+    counts = []
+    for times in (1, 10):
+        shards = O.plan_shards([(0, 170, 200 * times)], 100)
+        counts.append(O.plan_tasks([(0, 170, 10_000 * times)], shards, 4, 1000)[1])
+    assert counts == [10, 100]

@@ -44,7 +44,7 @@ LEAST_MATCH = 10
 #: Grams of the exact filter: length in characters, and bits of the second look; the first has four a character.
 GRAM, LEAST_BITS, MORE_BITS = 3, 1024, 8192
 #: Characters of evaluation texts in a shard, of training texts in a task and in a search, about.
-SHARD_CHARS, TASK_CHARS, BUFFER_CHARS = 1 << 22, 1 << 22, 1 << 22
+SHARD_CHARS, TASK_CHARS, BUFFER_CHARS = 1 << 22, 1 << 23, 1 << 24
 #: Tasks a core, at least, where there are texts enough; more only as they would exceed ``TASK_CHARS``.
 TASKS_PER_CORE = 4
 #: Length bands: so many to a factor of e.  A shard spans at most ``SHARD_BANDS``, unless it is one band.
